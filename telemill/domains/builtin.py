@@ -1,50 +1,43 @@
 """The built-in domains."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill.domains.spec import DomainSpec, Registry, Rule
-from telemill.functions.text import trim_space
+from telemill.functions.text import trim_space_sql
 
 
-def required_number(payload: Column, field: str) -> Rule:
+def required_number(p: str, field: str) -> Rule:
     """Zero counts as missing: an absent number decodes to zero."""
-    return Rule(field, "required", payload[field] != 0)
+    return Rule(field, "required", f"{p}.{field} <> 0")
 
 
-def required_text(payload: Column, field: str) -> Rule:
-    return Rule(field, "required", payload[field] != "")
+def required_text(p: str, field: str) -> Rule:
+    return Rule(field, "required", f"{p}.{field} <> ''")
 
 
-def at_least(payload: Column, field: str, low: float) -> Rule:
-    return Rule(field, f"gte={low}", payload[field] >= low)
+def at_least(p: str, field: str, low: float) -> Rule:
+    return Rule(field, f"gte={low}", f"{p}.{field} >= {low}")
 
 
-def at_most(payload: Column, field: str, high: float) -> Rule:
-    return Rule(field, f"lte={high}", payload[field] <= high)
+def at_most(p: str, field: str, high: float) -> Rule:
+    return Rule(field, f"lte={high}", f"{p}.{field} <= {high}")
 
 
-def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
+def clamp(value: str, low: float, high: float) -> str:
+    return f"least(greatest({value}, {low}D), {high}D)"
 
 
-def _normalize_energy(p: Column) -> dict[str, Column]:
-    def positive(name: str, kind: str) -> Column:
-        return F.greatest(p[name], F.lit(0.0).cast(kind))
-
-    voltage = positive("voltage_v", "float")
-    current = positive("current_ma", "float")
-    measured = positive("power_w", "double")
-    derived = voltage.cast("double") * current.cast("double") / 1000
-    power = F.when((measured == 0) & (voltage > 0) & (current > 0), derived).otherwise(measured)
+def _normalize_energy(p: str) -> dict[str, str]:
+    measured = f"greatest({p}.power_w, 0D)"
+    derivable = f"{measured} = 0 AND {p}.voltage_v > 0 AND {p}.current_ma > 0"
+    derived = f"CAST({p}.voltage_v AS DOUBLE) * CAST({p}.current_ma AS DOUBLE) / 1000"
     return {
         # Dividing and multiplying by ten does not round; it is kept because results must agree
         # to the last bit.
-        "power_w": power / 10 * 10,
-        "energy_wh": positive("energy_wh", "double"),
-        "voltage_v": voltage,
-        "current_ma": current,
+        "power_w": f"CASE WHEN {derivable} THEN {derived} ELSE {measured} END / 10 * 10",
+        "energy_wh": f"greatest({p}.energy_wh, 0D)",
+        "voltage_v": f"greatest({p}.voltage_v, 0F)",
+        "current_ma": f"greatest({p}.current_ma, 0F)",
     }
 
 
@@ -84,16 +77,16 @@ FINANCE = DomainSpec(
         ]
     ),
     normalize=lambda p: {
-        "currency": F.upper(trim_space(p["currency"])),
-        "merchant": trim_space(p["merchant"]),
-        "status": F.lower(trim_space(p["status"])),
+        "currency": f"upper({trim_space_sql(f'{p}.currency')})",
+        "merchant": trim_space_sql(f"{p}.merchant"),
+        "status": f"lower({trim_space_sql(f'{p}.status')})",
     },
     rules=lambda p: [
         required_number(p, "amount_minor"),
         required_text(p, "currency"),
         required_text(p, "merchant"),
         required_text(p, "status"),
-        Rule("status", "oneof", p["status"].isin("completed", "failed", "pending")),
+        Rule("status", "oneof", f"{p}.status IN ('completed', 'failed', 'pending')"),
     ],
     payload_name="FinancialTransaction",
     payload_label="ft",
@@ -111,9 +104,9 @@ ENVIRONMENT = DomainSpec(
         ]
     ),
     normalize=lambda p: {
-        "temperature_c": clamp(p["temperature_c"], -50, 100),
-        "humidity_percent": clamp(p["humidity_percent"], 0, 100),
-        "air_quality_index": clamp(p["air_quality_index"], 0, 500),
+        "temperature_c": clamp(f"{p}.temperature_c", -50, 100),
+        "humidity_percent": clamp(f"{p}.humidity_percent", 0, 100),
+        "air_quality_index": clamp(f"{p}.air_quality_index", 0, 500),
     },
     rules=lambda p: [
         required_number(p, "temperature_c"),

@@ -1,12 +1,13 @@
-"""A domain is declared as column expressions, so user domains stay inside generated code."""
+"""A domain is declared as SQL expressions, so user domains stay inside generated code."""
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from telemill.functions.sql import lookup, name, quoted
+
 
 class DuplicateDomain(ValueError):
     """A message type was registered twice."""
@@ -18,12 +19,13 @@ class Rule:
 
     field: str
     name: str
-    passes: Column
+    passes: str
 
 
 @dataclass(frozen=True)
 class DomainSpec:
-    """``normalize`` maps the payload struct to replaced fields, ``rules`` maps it to its rules.
+    """``normalize`` and ``rules`` are given the payload's column name, so that a field is written
+    ``f"{p}.power_w"``. ``normalize`` gives the changed fields, ``rules`` the rules, both as SQL.
 
     Schema fields are DOUBLE, FLOAT, STRING, or VARIANT for a free-form object.
     """
@@ -32,8 +34,8 @@ class DomainSpec:
     entity_type: str
     source: str
     schema: T.StructType
-    normalize: Callable[[Column], dict[str, Column]]
-    rules: Callable[[Column], list[Rule]]
+    normalize: Callable[[str], dict[str, str]]
+    rules: Callable[[str], list[Rule]]
     payload_name: str = "Payload"
     payload_label: str = "payload"
 
@@ -42,29 +44,30 @@ class DomainSpec:
         """Name of the payload column while events are in flight."""
         return f"payload_{self.type}"
 
-    def normalized(self, payload: Column) -> Column:
+    def normalized(self) -> str:
         """The payload struct after normalisation; NULL stays NULL."""
-        changed = self.normalize(payload)
-        fields = [
-            changed.get(f.name, payload[f.name]).cast(f.dataType).alias(f.name)
-            if not isinstance(f.dataType, T.VariantType)
-            else changed.get(f.name, payload[f.name]).alias(f.name)
-            for f in self.schema
-        ]
-        return F.when(payload.isNotNull(), F.struct(*fields))
-
-    def violations(self, payload: Column) -> Column:
+        p = name(self.column)
+        changed = self.normalize(p)
+        fields = []
+        for f in self.schema:
+            value = changed.get(f.name, f"{p}.{name(f.name)}")
+            if not isinstance(f.dataType, T.VariantType):
+                value = f"CAST({value} AS {f.dataType.simpleString()})"
+            fields.append(f"{quoted(f.name)}, {value}")
+        return f"CASE WHEN {p} IS NOT NULL THEN named_struct({', '.join(fields)}) END"
+
+    def violations(self) -> str:
         """Broken rules as ``field:rule``, one per field, in field order."""
         by_field: dict[str, list[Rule]] = {}
-        for rule in self.rules(payload):
+        for rule in self.rules(name(self.column)):
             by_field.setdefault(rule.field, []).append(rule)
+        if not by_field:
+            return "CAST(array() AS ARRAY<STRING>)"
         first_broken = [
-            F.coalesce(*[F.when(~r.passes, F.lit(f"{r.field}:{r.name}")) for r in rules])
+            "CASE " + " ".join(f"WHEN NOT ({r.passes}) THEN {quoted(f'{r.field}:{r.name}')}" for r in rules) + " END"
             for rules in by_field.values()
         ]
-        if not first_broken:
-            return F.array().cast("array<string>")
-        return F.array_compact(F.array(*first_broken))
+        return f"array_compact(array({', '.join(first_broken)}))"
 
 
 class Registry:
@@ -89,12 +92,9 @@ class Registry:
     def __len__(self) -> int:
         return len(self._specs)
 
-    def attribute(self, domain: Column, name: str) -> Column:
-        """One attribute of the registered domains as an expression; NULL when unregistered."""
-        return F.coalesce(
-            *[F.when(domain == s.type, F.lit(getattr(s, name))) for s in self],
-            F.lit(None).cast("string"),
-        )
+    def attribute(self, attribute: str, domain: str = "domain") -> str:
+        """One attribute of a row's domain, as a literal lookup; NULL when unregistered."""
+        return lookup(domain, {s.type: quoted(getattr(s, attribute)) for s in self})
 
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
         """The registry as a table: one row per registered domain."""

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from telemill import fixed
+from telemill.functions.sql import quoted
 
 
 def trim_space(c: Column) -> Column:
@@ -11,6 +12,11 @@ def trim_space(c: Column) -> Column:
     return F.btrim(c, F.lit(fixed.WHITESPACE))
 
 
+def trim_space_sql(expression: str) -> str:
+    """``trim_space`` as SQL text."""
+    return f"btrim({expression}, {quoted(fixed.WHITESPACE)})"
+
+
 def is_uuid(c: Column) -> Column:
     return F.coalesce(c.rlike(fixed.UUID_PATTERN), F.lit(False))
 

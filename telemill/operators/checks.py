@@ -1,4 +1,4 @@
-"""Predicates on messages and events."""
+"""Predicates on messages and events, as columns over the usual column names."""
 
 from collections.abc import Sequence
 
@@ -7,24 +7,32 @@ from pyspark.sql import functions as F
 
 from telemill import fixed
 from telemill.domains import Registry
-from telemill.functions.text import is_semver
+from telemill.functions.sql import lookup, one_of, quoted
 
 _ZERO_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 
 
-def is_zero_time(c: Column) -> Column:
-    return c.isNull() | (c == F.expr(_ZERO_TIME))
+def _missing(column: str) -> str:
+    return f"coalesce({column}, '') = ''"
 
 
-def raw_error(device_id: Column, type_name: Column, occurred_at: Column) -> Column:
-    """First missing required field of a decoded message; NULL when all are there. No trimming."""
+def _no_time(column: str) -> str:
+    return f"coalesce({column} = {_ZERO_TIME}, true)"
+
+
+def raw_error_sql() -> str:
     return (
-        F.when(F.coalesce(device_id, F.lit("")) == "", F.lit(fixed.MISSING_DEVICE_ID))
-        .when(F.coalesce(type_name, F.lit("")) == "", F.lit(fixed.MISSING_TYPE))
-        .when(is_zero_time(occurred_at), F.lit(fixed.MISSING_TIMESTAMP))
+        f"CASE WHEN {_missing('device_id')} THEN {quoted(fixed.MISSING_DEVICE_ID)} "
+        f"WHEN {_missing('type')} THEN {quoted(fixed.MISSING_TYPE)} "
+        f"WHEN {_no_time('occurred_at')} THEN {quoted(fixed.MISSING_TIMESTAMP)} END"
     )
 
 
+def raw_error() -> Column:
+    """First missing required field of a decoded message; NULL when all are there. No trimming."""
+    return F.expr(raw_error_sql())
+
+
 def is_valid_type(type_name: Column) -> Column:
     return F.coalesce(type_name.isin(*fixed.VALID_TYPES), F.lit(False))
 
@@ -34,40 +42,46 @@ def parse_type(type_name: Column) -> Column:
     return F.when(type_name.isin(*fixed.VALID_TYPES), type_name).otherwise(F.lit(fixed.UNKNOWN_TYPE))
 
 
-def is_allowed(domain: Column, allow_list: Sequence[str]) -> Column:
-    """Membership in the allow-list; an empty list lets everything through."""
-    return domain.isin(*allow_list) if allow_list else F.lit(True)
+def allowed_sql(allow_list: Sequence[str]) -> str:
+    return one_of("domain", allow_list) if allow_list else "true"
 
 
-def is_registered(domain: Column, registry: Registry) -> Column:
-    return domain.isin(*[spec.type for spec in registry])
+def is_allowed(allow_list: Sequence[str]) -> Column:
+    """Membership of the domain in the allow-list; an empty list lets everything through."""
+    return F.expr(allowed_sql(allow_list))
 
 
-def payload_violations(domain: Column, registry: Registry) -> Column:
+def registered_sql(registry: Registry) -> str:
+    return one_of("domain", [s.type for s in registry])
+
+
+def is_registered(registry: Registry) -> Column:
+    return F.expr(registered_sql(registry))
+
+
+def payload_violations(registry: Registry) -> Column:
     """Broken payload rules of the row's own domain."""
-    arms = [F.when(domain == s.type, s.violations(F.col(s.column))) for s in registry]
-    return F.coalesce(*arms, F.array().cast("array<string>"))
+    rules = lookup("domain", {s.type: s.violations() for s in registry})
+    return F.expr(f"coalesce({rules}, CAST(array() AS ARRAY<STRING>))")
 
 
 def envelope_violations() -> Column:
     """Broken rules of the event envelope, one per field."""
-
-    def broken(name: str, *rules: tuple[str, Column]) -> Column:
-        return F.coalesce(*[F.when(~passes, F.lit(f"{name}:{rule}")) for rule, passes in rules])
-
-    def present(name: str) -> tuple[str, Column]:
-        return "required", F.coalesce(F.col(name), F.lit("")) != ""
-
-    return F.array_compact(
-        F.array(
-            broken("event_id", ("required", F.coalesce(F.col("event_id"), F.lit("")).isin("", fixed.ZERO_UUID) == F.lit(False))),
-            broken("domain", present("domain")),
-            broken("event_type", present("event_type")),
-            broken("entity_id", present("entity_id"), ("max=255", F.length("entity_id") <= 255)),
-            broken("entity_type", present("entity_type")),
-            broken("occurred_at", ("required", ~is_zero_time(F.col("occurred_at")))),
-            broken("ingested_at", ("required", ~is_zero_time(F.col("ingested_at")))),
-            broken("source", present("source")),
-            broken("schema_version", present("schema_version"), ("semver", is_semver(F.col("schema_version")))),
-        )
-    )
+    required = ["domain", "event_type", "entity_type", "source"]
+    checks = {c: [(_missing(c), "required")] for c in required}
+    checks |= {c: [(_no_time(c), "required")] for c in ("occurred_at", "ingested_at")}
+    checks["event_id"] = [(f"coalesce(event_id, '') IN ('', {quoted(fixed.ZERO_UUID)})", "required")]
+    checks["entity_id"] = [(_missing("entity_id"), "required"), ("length(entity_id) > 255", "max=255")]
+    checks["schema_version"] = [
+        (_missing("schema_version"), "required"),
+        (f"NOT schema_version RLIKE {quoted(fixed.SEMVER_PATTERN)}", "semver"),
+    ]
+    order = [
+        "event_id", "domain", "event_type", "entity_id", "entity_type", "occurred_at", "ingested_at",
+        "source", "schema_version",
+    ]
+    broken = [
+        "CASE " + " ".join(f"WHEN {test} THEN {quoted(f'{c}:{rule}')}" for test, rule in checks[c]) + " END"
+        for c in order
+    ]
+    return F.expr(f"array_compact(array({', '.join(broken)}))")

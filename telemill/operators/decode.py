@@ -9,7 +9,6 @@ from telemill.functions.times import parse_rfc3339, utc
 # number in a text field can be told from text.
 _ENVELOPE = "array<struct<device_id variant, type variant, timestamp variant, metrics variant>>"
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-_JSON_BLANKS = " \t\r\n"
 
 
 def header_map(headers: Column) -> Column:
@@ -38,44 +37,41 @@ def decode(messages: DataFrame) -> DataFrame:
     )
     # Wrapping as an array element catches what a plain parse lets through: text after the value,
     # a second value, an empty record.
-    wrapped = F.concat(F.lit("["), F.col("raw_value"), F.lit(",null]"))
+    wrapped = F.expr("concat('[', raw_value, ',null]')")
     parsed = source.withColumn("_parsed", F.from_json(wrapped, _ENVELOPE, _STRICT))
 
-    body = F.get(F.col("_parsed"), F.lit(0))
-    trimmed = F.btrim(F.col("raw_value"), F.lit(_JSON_BLANKS))
-    one_value = (F.size("_parsed") == 2) & (
-        (trimmed.startswith("{") & trimmed.endswith("}")) | (trimmed == "null")
-    )
+    def body(field: str) -> str:
+        return f"get(_parsed, 0).{field}"
 
-    def kind(name: str) -> Column:
+    def kind(field: str) -> str:
         """JSON type of a field; VOID when it is absent or null."""
-        return F.coalesce(F.schema_of_variant(body[name]), F.lit("VOID"))
+        return f"coalesce(schema_of_variant({body(field)}), 'VOID')"
 
-    def text(name: str) -> Column:
-        return F.when(kind(name) == "STRING", F.try_variant_get(body[name], "$", "string")).otherwise("")
+    def text(field: str) -> str:
+        return f"CASE WHEN {kind(field)} = 'STRING' THEN try_variant_get({body(field)}, '$', 'string') ELSE '' END"
 
-    fields = parsed.select(
-        *source.columns,
-        text("device_id").alias("device_id"),
-        text("type").alias("type"),
-        text("timestamp").alias("message_time"),
-        F.when(kind("metrics") != "VOID", body["metrics"]).alias("metrics"),
-        (
-            F.coalesce(one_value, F.lit(False))
-            & kind("device_id").isin("STRING", "VOID")
-            & kind("type").isin("STRING", "VOID")
-            & kind("timestamp").isin("STRING", "VOID")
-            & ((kind("metrics") == "VOID") | kind("metrics").startswith("OBJECT"))
-        ).alias("_typed"),
-        (kind("timestamp") == "VOID").alias("_no_time"),
+    trimmed = "btrim(raw_value, ' \\t\\r\\n')"
+    one_value = (
+        f"size(_parsed) = 2 AND ((startswith({trimmed}, '{{') AND endswith({trimmed}, '}}')) OR {trimmed} = 'null')"
+    )
+    text_or_nothing = " AND ".join(f"{kind(f)} IN ('STRING', 'VOID')" for f in ("device_id", "type", "timestamp"))
+    object_or_nothing = f"({kind('metrics')} = 'VOID' OR startswith({kind('metrics')}, 'OBJECT'))"
+    fields = parsed.selectExpr(
+        *[f"`{c}`" for c in source.columns],
+        f"{text('device_id')} AS device_id",
+        f"{text('type')} AS type",
+        f"{text('timestamp')} AS message_time",
+        f"CASE WHEN {kind('metrics')} <> 'VOID' THEN {body('metrics')} END AS metrics",
+        f"coalesce({one_value}, false) AND {text_or_nothing} AND {object_or_nothing} AS _typed",
+        f"{kind('timestamp')} = 'VOID' AS _no_time",
     )
     timed = fields.withColumn("occurred_at", parse_rfc3339(F.col("message_time")))
-    return timed.select(
-        *source.columns,
+    return timed.selectExpr(
+        *[f"`{c}`" for c in source.columns],
         "device_id",
         "type",
         "message_time",
         "occurred_at",
         "metrics",
-        (~F.col("_typed") | (~F.col("_no_time") & F.col("occurred_at").isNull())).alias("is_malformed"),
+        "NOT _typed OR (NOT _no_time AND occurred_at IS NULL) AS is_malformed",
     )

@@ -4,59 +4,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill import fixed
-from telemill.domains import Registry
 from telemill.functions.ids import uuid_text
+from telemill.functions.sql import lookup, quoted
 from telemill.functions.times import truncate_second
 from telemill.operators.transform import FAILURES, TransformConfig, _by_check
 
 
-def error_text(field: Column, expected: Column, got: Column, reason: Column, detail: Column) -> Column:
-    return F.format_string(
-        "field '%s': expected %s, got %s, because of %s; detailed error: \n %s",
-        field, expected, got, reason, detail,
-    )
-
-
-def _label(registry: Registry, attribute: str) -> Column:
-    return F.coalesce(*[F.when(F.col("domain") == s.type, F.lit(getattr(s, attribute))) for s in registry])
+def error_text(field: str, expected: str, got: str, reason: str, detail: str) -> str:
+    """Error text in the common form, as SQL; the arguments are expressions."""
+    form = "field '%s': expected %s, got %s, because of %s; detailed error: \n %s"
+    return f"format_string({quoted(form)}, {field}, {expected}, {got}, {reason}, {detail})"
 
 
 def failure_error(config: TransformConfig) -> Column:
     """Error text of a failed message."""
-    check = F.col("failed_check")
-    reason = _by_check("reason")
-    message = F.lit("DeviceMessage")
-    payload = F.lit("NormalizedData")
-    allowed = F.lit(" ".join(config.allow_list))
-    name = _label(config.registry, "payload_name")
-    missing = check.isin(fixed.MISSING_DEVICE_ID, fixed.MISSING_TYPE, fixed.MISSING_TIMESTAMP)
-    return (
-        F.when(check == "malformed", error_text(F.lit("msg"), message, message, reason, F.lit("record is not a JSON message")))
-        .when(missing, error_text(F.lit("msg"), message, message, reason, check))
-        .when(
-            check == "unsupported_domain",
-            error_text(
-                F.lit("domain"), F.lit("DataTypes"), F.lit("DataTypes"), reason,
-                F.format_string("unsupported domain: %s (supported: [%s])", F.col("domain"), allowed),
-            ),
-        )
-        .when(check == "unknown_data_type", F.lit(fixed.UNKNOWN_DATA_TYPE))
-        .when(check == "metrics_missing", error_text(F.lit("target"), payload, F.lit("null"), reason, F.lit("metrics are missing")))
-        .when(
-            check == "payload_type",
-            error_text(
-                F.lit("target"), payload, payload, reason,
-                F.format_string("fields of the wrong type: %s", F.col("wrong_fields")),
-            ),
-        )
-        .when(
-            check == "payload_rules",
-            error_text(
-                _label(config.registry, "payload_label"), name, name, reason,
-                F.format_string("broken rules: %s", F.concat_ws(", ", "violations")),
-            ),
-        )
-    )
+    message, payload, types = quoted("DeviceMessage"), quoted("NormalizedData"), quoted("DataTypes")
+    payload_name = config.registry.attribute("payload_name")
+    unsupported = f"unsupported domain: %s (supported: [{' '.join(config.allow_list)}])"
+
+    def reason(check: str) -> str:
+        return quoted(FAILURES[check].reason)
+
+    texts = {
+        "malformed": error_text("'msg'", message, message, reason("malformed"), "'record is not a JSON message'"),
+        "unsupported_domain": error_text(
+            "'domain'", types, types, reason("unsupported_domain"), f"format_string({quoted(unsupported)}, domain)"
+        ),
+        "unknown_data_type": quoted(fixed.UNKNOWN_DATA_TYPE),
+        "metrics_missing": error_text("'target'", payload, "'null'", reason("metrics_missing"), "'metrics are missing'"),
+        "payload_type": error_text(
+            "'target'", payload, payload, reason("payload_type"), "concat('fields of the wrong type: ', wrong_fields)"
+        ),
+        "payload_rules": error_text(
+            config.registry.attribute("payload_label"), payload_name, payload_name, reason("payload_rules"),
+            "concat('broken rules: ', concat_ws(', ', violations))",
+        ),
+    }
+    for missing in (fixed.MISSING_DEVICE_ID, fixed.MISSING_TYPE, fixed.MISSING_TIMESTAMP):
+        texts[missing] = error_text("'msg'", message, message, reason(missing), quoted(missing))
+    return F.expr(lookup("failed_check", texts))
 
 
 def message_json() -> Column:
@@ -110,9 +96,11 @@ def conflict_rows(conflicts: DataFrame, batch_id: str) -> DataFrame:
     return conflicts.select(
         _failure_id(batch_id, F.lit(failure.stage)),
         "message",
-        error_text(
-            F.lit("msg"), F.lit("DeviceMessage"), F.lit("DeviceMessage"), F.lit(failure.reason),
-            F.format_string("event_id %s is stored already", F.col("event_id")),
+        F.expr(
+            error_text(
+                "'msg'", "'DeviceMessage'", "'DeviceMessage'", quoted(failure.reason),
+                "concat('event_id ', event_id, ' is stored already')",
+            )
         ).alias("error"),
         truncate_second(F.col("ingested_at")).alias("created_at"),
         F.lit(failure.error_type).alias("error_type"),

@@ -5,13 +5,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from telemill import fixed
 from telemill.domains import DomainSpec, Registry, default_registry
 from telemill.functions.paging import clamp_limit, cursor_column, decode_cursor
-from telemill.functions.text import is_uuid
-from telemill.operators import checks
+from telemill.functions.sql import lookup, name, quoted
 from telemill.scratch import enable_checkpoints
 
 
@@ -143,26 +141,21 @@ def response(events: DataFrame) -> DataFrame:
 def read_errors(events: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Add ``read_error``: why a stored row cannot be read back, NULL when it can."""
     registry = registry or default_registry()
-    undecodable = F.try_parse_json("data").isNull() | F.coalesce(
-        *[F.when(checks.parse_type(F.col("event_type")) == s.type, _payload_mismatch(s)) for s in registry],
-        F.lit(False),
-    )
+    misfits = lookup("event_type", {s.type: _payload_mismatch(s) for s in registry}, "false")
     return events.withColumn(
         "read_error",
-        F.when(undecodable, F.lit("payload cannot be decoded")).when(
-            ~is_uuid(F.col("event_id")), F.lit("invalid event UUID")
+        F.expr(
+            f"CASE WHEN try_parse_json(data) IS NULL OR {misfits} THEN 'payload cannot be decoded' "
+            f"WHEN NOT event_id RLIKE {quoted(fixed.UUID_PATTERN)} THEN 'invalid event UUID' END"
         ),
     )
 
 
-def _payload_mismatch(spec: DomainSpec) -> Column:
+def _payload_mismatch(spec: DomainSpec) -> str:
     """Whether the stored JSON is of another type than the payload asks for."""
-    body = F.from_json(F.col("data"), _with_corrupt(spec.schema), {"columnNameOfCorruptRecord": "_corrupt"})
-    return body["_corrupt"].isNotNull()
-
-
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    ddl = ", ".join(f"{name(f.name)} {f.dataType.simpleString()}" for f in spec.schema) + ", _corrupt string"
+    options = "map('columnNameOfCorruptRecord', '_corrupt')"
+    return f"from_json(data, {quoted(ddl)}, {options})._corrupt IS NOT NULL"
 
 
 def require_readable(events: DataFrame, registry: Registry | None = None) -> DataFrame:

@@ -10,11 +10,10 @@ from pyspark.sql import types as T
 from telemill import fixed
 from telemill.domains import DomainSpec, Registry, default_registry
 from telemill.functions.ids import event_id
+from telemill.functions.sql import lookup, name, one_of, quoted
 from telemill.functions.text import trim_space
 from telemill.operators import checks
 
-_FLOAT_MAX = 3.4028234663852886e38
-
 
 @dataclass(frozen=True)
 class TransformConfig:
@@ -52,11 +51,10 @@ def resolve_domain(messages: DataFrame, registry: Registry) -> DataFrame:
     The registry is a handful of rows known when the plan is built, so the lookup is a literal
     expression: no join, no broadcast.
     """
-    domain = F.col("domain")
     return messages.withColumn("domain", checks.parse_type(F.col("type"))).withColumns(
         {
-            "entity_type": registry.attribute(domain, "entity_type"),
-            "source": registry.attribute(domain, "source"),
+            "entity_type": F.expr(registry.attribute("entity_type")),
+            "source": F.expr(registry.attribute("source")),
         }
     )
 
@@ -66,62 +64,52 @@ def enrich_from_table(messages: DataFrame, registry_table: DataFrame) -> DataFra
     return messages.join(registry_table, "domain", "left")
 
 
-def _path(name: str) -> str:
-    return f"$['{name}']"
+def _get(f: T.StructField, kind: str) -> str:
+    path = f"$['{f.name}']"
+    return f"try_variant_get(metrics, {quoted(path)}, '{kind}')"
 
 
-def _kind(name: str) -> Column:
-    return F.coalesce(
-        F.schema_of_variant(F.try_variant_get("metrics", _path(name), "variant")), F.lit("VOID")
-    )
+def _kind(f: T.StructField) -> str:
+    """JSON type of a payload field; VOID when it is absent or null."""
+    return f"coalesce(schema_of_variant({_get(f, 'variant')}), 'VOID')"
 
 
-def _decode_field(f: T.StructField) -> Column:
+def _decode_field(f: T.StructField) -> str:
     """A payload field; absent and null become the zero value."""
     if isinstance(f.dataType, T.VariantType):
-        return F.when(_kind(f.name) != "VOID", F.try_variant_get("metrics", _path(f.name), "variant"))
+        return f"CASE WHEN {_kind(f)} <> 'VOID' THEN {_get(f, 'variant')} END"
     if isinstance(f.dataType, T.StringType):
-        text = F.try_variant_get("metrics", _path(f.name), "string")
-        return F.when(_kind(f.name) == "STRING", text).otherwise("")
-    number = F.try_variant_get("metrics", _path(f.name), "double")
-    value = F.when(~_kind(f.name).isin("STRING", "BOOLEAN"), number)
-    return F.coalesce(value, F.lit(0.0)).cast(f.dataType)
+        return f"CASE WHEN {_kind(f)} = 'STRING' THEN {_get(f, 'string')} ELSE '' END"
+    number = f"CASE WHEN {_kind(f)} NOT IN ('STRING', 'BOOLEAN') THEN {_get(f, 'double')} END"
+    return f"CAST(coalesce({number}, 0D) AS {f.dataType.simpleString()})"
 
 
-def _wrong_type(f: T.StructField, decoded: Column) -> Column:
+def _wrong_type(spec: DomainSpec, f: T.StructField) -> str:
     """Whether the JSON value does not fit the declared field."""
-    kind = _kind(f.name)
-    composite = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     if isinstance(f.dataType, T.VariantType):
-        return (kind != "VOID") & ~kind.startswith("OBJECT")
+        return f"{_kind(f)} <> 'VOID' AND NOT startswith({_kind(f)}, 'OBJECT')"
     if isinstance(f.dataType, T.StringType):
-        return ~kind.isin("VOID", "STRING")
-    return kind.isin("STRING", "BOOLEAN") | composite | (F.abs(decoded) == float("inf"))
+        return f"{_kind(f)} NOT IN ('STRING', 'VOID')"
+    out_of_range = f"abs({name(spec.column)}.{name(f.name)}) = double('Infinity')"
+    return f"{_kind(f)} RLIKE '^(STRING|BOOLEAN|OBJECT|ARRAY)' OR {out_of_range}"
 
 
 def decode_payload(messages: DataFrame, registry: Registry) -> DataFrame:
     """Add one typed payload struct per domain (NULL but for the row's own) and ``wrong_fields``."""
-    mine = {s.type: (F.col("domain") == s.type) & F.col("metrics").isNotNull() for s in registry}
-    payloads = {
-        s.column: F.when(mine[s.type], F.struct(*[_decode_field(f).alias(f.name) for f in s.schema]))
-        for s in registry
-    }
-    wrong = F.coalesce(
-        *[
-            F.when(
-                mine[s.type],
-                F.concat_ws(", ", *[F.when(_wrong_type(f, F.col(s.column)[f.name]), F.lit(f.name)) for f in s.schema]),
-            )
-            for s in registry
-        ],
-        F.lit(""),
-    )
-    return messages.withColumns(payloads).withColumn("wrong_fields", wrong)
+    payloads, wrong = {}, {}
+    for s in registry:
+        fields = ", ".join(f"{quoted(f.name)}, {_decode_field(f)}" for f in s.schema)
+        mine = f"domain = {quoted(s.type)} AND metrics IS NOT NULL"
+        payloads[s.column] = F.expr(f"CASE WHEN {mine} THEN named_struct({fields}) END")
+        misfits = ", ".join(f"CASE WHEN {_wrong_type(s, f)} THEN {quoted(f.name)} END" for f in s.schema)
+        wrong[s.type] = f"concat_ws(', ', {misfits})"
+    wrong_fields = f"CASE WHEN metrics IS NOT NULL THEN {lookup('domain', wrong)} END"
+    return messages.withColumns(payloads).withColumn("wrong_fields", F.expr(f"coalesce({wrong_fields}, '')"))
 
 
 def normalize_payload(messages: DataFrame, registry: Registry) -> DataFrame:
     """Apply every domain's normalisation to its payload column."""
-    return messages.withColumns({s.column: s.normalized(F.col(s.column)) for s in registry})
+    return messages.withColumns({s.column: F.expr(s.normalized()) for s in registry})
 
 
 def evaluate_once(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -144,18 +132,19 @@ def classify(decoded: DataFrame, config: TransformConfig | None = None) -> DataF
     registry = config.registry
     resolved = resolve_domain(decoded, registry)
     typed = normalize_payload(decode_payload(resolved, registry), registry)
-    ruled = typed.withColumn("violations", checks.payload_violations(F.col("domain"), registry))
+    ruled = typed.withColumn("violations", checks.payload_violations(registry))
     judged = ruled.withColumn(
         "failed_check",
-        F.when(F.col("is_malformed"), F.lit("malformed")).otherwise(
-            F.coalesce(
-                checks.raw_error(F.col("device_id"), F.col("type"), F.col("occurred_at")),
-                F.when(~checks.is_allowed(F.col("domain"), config.allow_list), F.lit("unsupported_domain")),
-                F.when(~checks.is_registered(F.col("domain"), registry), F.lit("unknown_data_type")),
-                F.when(F.col("metrics").isNull(), F.lit("metrics_missing")),
-                F.when(F.col("wrong_fields") != "", F.lit("payload_type")),
-                F.when(F.size("violations") > 0, F.lit("payload_rules")),
-            )
+        F.expr(
+            f"""CASE
+            WHEN is_malformed THEN 'malformed'
+            WHEN {checks.raw_error_sql()} IS NOT NULL THEN {checks.raw_error_sql()}
+            WHEN NOT {checks.allowed_sql(config.allow_list)} THEN 'unsupported_domain'
+            WHEN NOT {checks.registered_sql(registry)} THEN 'unknown_data_type'
+            WHEN metrics IS NULL THEN 'metrics_missing'
+            WHEN wrong_fields <> '' THEN 'payload_type'
+            WHEN size(violations) > 0 THEN 'payload_rules'
+            END"""
         ),
     )
     computed = [
@@ -168,24 +157,13 @@ def classify(decoded: DataFrame, config: TransformConfig | None = None) -> DataF
 
 def _by_check(attribute: str) -> Column:
     """Attribute of the failed check, as a literal lookup."""
-    check = F.col("failed_check")
-    by_value: dict[str, list[str]] = {}
-    for name, failure in FAILURES.items():
-        by_value.setdefault(getattr(failure, attribute), []).append(name)
-    return F.coalesce(*[F.when(check.isin(*names), F.lit(value)) for value, names in by_value.items()])
+    return F.expr(lookup("failed_check", {c: quoted(getattr(f, attribute)) for c, f in FAILURES.items()}))
 
 
 def payload_json(registry: Registry) -> Column:
     """JSON text of the row's own payload; a missing object is written as null."""
-    return F.coalesce(
-        *[
-            F.when(
-                F.col("domain") == s.type,
-                F.to_json(F.col(s.column), {"ignoreNullFields": "false"}),
-            )
-            for s in registry
-        ]
-    )
+    texts = {s.type: f"to_json({name(s.column)}, map('ignoreNullFields', 'false'))" for s in registry}
+    return F.expr(lookup("domain", texts))
 
 
 def to_events(
@@ -240,14 +218,14 @@ def normalize_envelope(events: DataFrame) -> DataFrame:
 def typed_payloads(events: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Re-type ``data`` by ``event_type``, unregistered types as the unknown payload."""
     registry = registry or default_registry()
-    unknown = registry.lookup(fixed.UNKNOWN_TYPE)
     known = [s for s in registry if s.type != fixed.UNKNOWN_TYPE]
-    parsed_type = checks.parse_type(F.col("event_type"))
-
-    def read(spec: DomainSpec) -> Column:
-        return F.from_json(F.col("data"), spec.schema)
-
-    columns = {s.column: F.when(parsed_type == s.type, read(s)) for s in known}
-    if unknown is not None:
-        columns[unknown.column] = F.when(~parsed_type.isin(*[s.type for s in known]), read(unknown))
+    type_name = f"CASE WHEN {one_of('event_type', fixed.VALID_TYPES)} THEN event_type ELSE {quoted(fixed.UNKNOWN_TYPE)} END"
+    columns = {}
+    for s in registry:
+        if s.type == fixed.UNKNOWN_TYPE:
+            mine = f"NOT {one_of(type_name, [k.type for k in known])}" if known else "true"
+        else:
+            mine = f"{type_name} = {quoted(s.type)}"
+        ddl = ", ".join(f"{name(f.name)} {f.dataType.simpleString()}" for f in s.schema)
+        columns[s.column] = F.expr(f"CASE WHEN {mine} THEN from_json(data, {quoted(ddl)}) END")
     return events.withColumns(columns)

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.functions.sql import quoted
 from telemill.functions.times import format_rfc3339
 
 TOPIC = "ingestion.raw"
@@ -13,55 +14,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _only(condition: Column, value: Column) -> Column:
-    return F.when(condition, value)
-
-
 def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as message fields, before they become JSON."""
-    n, v, k = F.col("event_id"), F.col("value"), F.col("k")
-    kind = F.col("type")
-    types = {
-        "click": "energy_meter",
-        "purchase": "financial_stream",
-        "view": "temperature_sensor",
-        "signup": "climate_sensor",
-        "error": "power_meter",
-    }
-    source = _table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "value",
-        F.coalesce(*[F.when(F.col("event_type") == e, F.lit(t)) for e, t in types.items()]).alias("type"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+    source = _table(spark, sf_dir, "events").selectExpr(
+        "event_id AS n",
+        "ts",
+        "user_id",
+        "value AS v",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+        """CASE event_type WHEN 'click' THEN 'energy_meter' WHEN 'purchase' THEN 'financial_stream'
+           WHEN 'view' THEN 'temperature_sensor' WHEN 'signup' THEN 'climate_sensor'
+           WHEN 'error' THEN 'power_meter' END AS type""",
     )
-    energy = kind == "energy_meter"
-    finance = kind == "financial_stream"
-    climate = kind.isin("temperature_sensor", "climate_sensor")
-    power = F.when(k % 5 == 0, -v).when(k % 5 != 1, v * 10)
-    status = F.when(k % 4 == 0, "COMPLETED").when(k % 4 == 1, " pending").when(k % 4 == 2, "Failed").otherwise("approved")
-    return source.select(
-        F.col("event_id").alias("n"),
-        "k",
-        F.lit(TOPIC).alias("topic"),
-        (n % 4).cast("int").alias("partition"),
-        n.alias("offset"),
-        F.when(n % 97 == 0, F.lit("")).otherwise(F.concat(F.lit("dev-"), F.col("user_id"))).alias("device_id"),
+    energy = "CASE WHEN type = 'energy_meter' THEN {} END"
+    finance = "CASE WHEN type = 'financial_stream' THEN {} END"
+    climate = "CASE WHEN type IN ('temperature_sensor', 'climate_sensor') THEN {} END"
+    metrics = {
+        "power_w": energy.format("CASE WHEN k % 5 = 0 THEN -v WHEN k % 5 <> 1 THEN v * 10 END"),
+        "energy_wh": energy.format("v * 100"),
+        "voltage_v": energy.format("CAST(200 + k * 4 AS FLOAT)"),
+        "current_ma": energy.format("CAST(k * 10 AS FLOAT)"),
+        "amount_minor": finance.format("round(v * 100)"),
+        "currency": finance.format("CASE WHEN k % 3 = 0 THEN ' usd ' ELSE 'EUR' END"),
+        "merchant": finance.format("concat('  m', k, ' ')"),
+        "status": finance.format(
+            "CASE k % 4 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN ' pending' WHEN 2 THEN 'Failed' ELSE 'approved' END"
+        ),
+        "temperature_c": climate.format("v - 60"),
+        "humidity_percent": climate.format("v - 5"),
+        "air_quality_index": climate.format("v * 2"),
+        "data": "CASE WHEN type = 'power_meter' THEN named_struct('k', k) END",
+    }
+    return source.selectExpr(
+        "n",
+        f"'{TOPIC}' AS topic",
+        "CAST(n % 4 AS INT) AS partition",
+        "n AS offset",
+        "CASE WHEN n % 97 = 0 THEN '' ELSE concat('dev-', user_id) END AS device_id",
         "type",
-        F.col("ts").alias("occurred_at"),
-        (F.col("ts") + F.make_dt_interval(secs=n % 300)).alias("arrived_at"),
-        F.struct(
-            _only(energy, power).alias("power_w"),
-            _only(energy, v * 100).alias("energy_wh"),
-            _only(energy, (200 + k * 4).cast("float")).alias("voltage_v"),
-            _only(energy, (k * 10).cast("float")).alias("current_ma"),
-            _only(finance, F.round(v * 100)).alias("amount_minor"),
-            _only(finance, F.when(k % 3 == 0, " usd ").otherwise("EUR")).alias("currency"),
-            _only(finance, F.concat(F.lit("  m"), k, F.lit(" "))).alias("merchant"),
-            _only(finance, status).alias("status"),
-            _only(climate, v - 60).alias("temperature_c"),
-            _only(climate, v - 5).alias("humidity_percent"),
-            _only(climate, v * 2).alias("air_quality_index"),
-            _only(kind == "power_meter", F.struct(k.alias("k"))).alias("data"),
-        ).alias("metrics"),
+        "ts AS occurred_at",
+        "ts + make_dt_interval(0, 0, 0, n % 300) AS arrived_at",
+        f"named_struct({', '.join(f'{quoted(k)}, {v}' for k, v in metrics.items())}) AS metrics",
     )
 
 
@@ -70,7 +63,6 @@ def _records(fields: DataFrame, value: Column | None = None) -> DataFrame:
     body = F.to_json(
         F.struct("device_id", "type", format_rfc3339(F.col("occurred_at")).alias("timestamp"), "metrics")
     )
-    header = lambda key, text: F.struct(F.lit(key).alias("key"), text.cast("string").alias("value"))
     return fields.withColumn("_body", body).select(
         "topic",
         "partition",
@@ -78,8 +70,10 @@ def _records(fields: DataFrame, value: Column | None = None) -> DataFrame:
         F.to_timestamp(format_rfc3339(F.col("arrived_at"))).alias("timestamp"),
         F.col("device_id").alias("key"),
         (F.col("_body") if value is None else value).alias("value"),
-        F.array(
-            header("trace", F.col("offset")), header("zone", F.col("partition")), header("trace", F.lit("retry"))
+        F.expr(
+            """array(named_struct('key', 'trace', 'value', CAST(offset AS STRING)),
+                     named_struct('key', 'zone', 'value', CAST(partition AS STRING)),
+                     named_struct('key', 'trace', 'value', 'retry'))"""
         ).alias("headers"),
     )
 

@@ -36,3 +36,37 @@ def replay_documents(spark: SparkSession, path: str, topic: str = "replay") -> D
         F.btrim("value", F.lit(" \t\r\n")).alias("value"),
         F.lit(None).cast(schemas.HEADERS).alias("headers"),
     )
+
+
+# Copies of a line that one row may be expanded to at a time.
+_COPIES_PER_STEP = 100_000
+
+
+def replay_lines(spark: SparkSession, path: str, topic: str = "replay") -> DataFrame:
+    """Message documents, one per line, as records.
+
+    A line has no position of its own that is the same however the files are split, but equal lines
+    of a file are interchangeable. So lines are counted per file and text, and written out again
+    with a copy number: the same file always gives the same records. A text that fills a large part
+    of a file is combined before the shuffle and written out by many tasks.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_modification_time").alias("timestamp"),
+    )
+    counted = lines.where("trim(value) <> ''").groupBy("file", "value").agg(
+        F.count("*").alias("n"), F.max("timestamp").alias("timestamp")
+    )
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(_COPIES_PER_STEP))))
+    spread = steps.hint("rebalance", "file", "value", "step")
+    last = F.least(F.col("step") + _COPIES_PER_STEP, F.col("n")) - 1
+    return spread.withColumn("copy", F.explode(F.sequence(F.col("step"), last))).select(
+        F.lit(topic).alias("topic"),
+        F.lit(0).alias("partition"),
+        F.xxhash64("file", "value", "copy").alias("offset"),
+        "timestamp",
+        F.lit(None).cast("string").alias("key"),
+        "value",
+        F.lit(None).cast(schemas.HEADERS).alias("headers"),
+    )
