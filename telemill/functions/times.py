@@ -18,7 +18,9 @@ def parse_rfc3339(c: Column) -> Column:
     bare dates. Digits beyond microseconds are cut off.
     """
     zulu = c.endswith("Z")
-    fraction = F.regexp_extract(c, r"^.{19}(\.\d{1,6})", 1)
+    # The pattern fixes the shape: 19 characters of date and time, a fraction, Z or an offset.
+    zone_length = F.when(zulu, 1).otherwise(6)
+    fraction = F.substring(c, F.lit(20), F.least(F.length(c) - 19 - zone_length, F.lit(7)))
     clock = F.concat(F.substring(c, 1, 19), fraction).try_cast("timestamp_ntz")
     offset_minutes = F.substring(c, -5, 2).try_cast("int") * 60 + F.substring(c, -2, 2).try_cast("int")
     sign = F.when(F.substring(c, -6, 1) == "-", -1).otherwise(1)

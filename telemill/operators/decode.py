@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.times import parse_rfc3339, utc
+from telemill.operators.plan import evaluate_once
 
 # Every field arrives as a VARIANT: one parse of the text keeps the JSON type of each value, so a
 # number in a text field can be told from text.
@@ -25,7 +26,7 @@ def decode(messages: DataFrame) -> DataFrame:
     """Kafka-shaped records to decoded messages, one row each, nothing dropped.
 
     Added columns: ``device_id``, ``type``, ``message_time`` (text as sent), ``occurred_at``,
-    ``metrics`` (VARIANT, NULL when absent or null), ``is_malformed``.
+    ``metrics`` (JSON text, NULL when absent or null), ``is_malformed``.
     """
     source = messages.select(
         "topic",
@@ -47,27 +48,29 @@ def decode(messages: DataFrame) -> DataFrame:
         """JSON type of a field; VOID when it is absent or null."""
         return f"coalesce(schema_of_variant({body(field)}), 'VOID')"
 
-    def text(field: str) -> str:
-        return f"CASE WHEN {kind(field)} = 'STRING' THEN try_variant_get({body(field)}, '$', 'string') ELSE '' END"
-
-    trimmed = "btrim(raw_value, ' \\t\\r\\n')"
-    one_value = (
-        f"size(_parsed) = 2 AND ((startswith({trimmed}, '{{') AND endswith({trimmed}, '}}')) OR {trimmed} = 'null')"
-    )
-    text_or_nothing = " AND ".join(f"{kind(f)} IN ('STRING', 'VOID')" for f in ("device_id", "type", "timestamp"))
-    object_or_nothing = f"({kind('metrics')} = 'VOID' OR startswith({kind('metrics')}, 'OBJECT'))"
+    texts = {"device_id": "device_id", "type": "type", "timestamp": "message_time"}
+    kept = [f"`{c}`" for c in source.columns]
     fields = parsed.selectExpr(
-        *[f"`{c}`" for c in source.columns],
-        f"{text('device_id')} AS device_id",
-        f"{text('type')} AS type",
-        f"{text('timestamp')} AS message_time",
-        f"CASE WHEN {kind('metrics')} <> 'VOID' THEN {body('metrics')} END AS metrics",
-        f"coalesce({one_value}, false) AND {text_or_nothing} AND {object_or_nothing} AS _typed",
-        f"{kind('timestamp')} = 'VOID' AS _no_time",
+        *kept,
+        "size(_parsed) = 2 AS _one",
+        *[f"{kind(f)} AS _kind_{f}" for f in texts],
+        *[f"try_variant_get({body(f)}, '$', 'string') AS _{f}" for f in texts],
+        # JSON text shows the type of the value by its first character.
+        f"nullif(to_json({body('metrics')}), 'null') AS metrics",
+        r"btrim(raw_value, ' \t\r\n') AS _trimmed",
     )
-    timed = fields.withColumn("occurred_at", parse_rfc3339(F.col("message_time")))
-    return timed.selectExpr(
-        *[f"`{c}`" for c in source.columns],
+    one_value = "_one AND ((startswith(_trimmed, '{') AND endswith(_trimmed, '}')) OR _trimmed = 'null')"
+    text_or_nothing = " AND ".join(f"_kind_{f} IN ('STRING', 'VOID')" for f in texts)
+    object_or_nothing = "coalesce(startswith(metrics, '{'), true)"
+    checked = fields.selectExpr(
+        *kept,
+        *[f"CASE WHEN _kind_{f} = 'STRING' THEN _{f} ELSE '' END AS {c}" for f, c in texts.items()],
+        "metrics",
+        f"coalesce({one_value}, false) AND {text_or_nothing} AND {object_or_nothing} AS _typed",
+        "_kind_timestamp = 'VOID' AS _no_time",
+    ).withColumn("occurred_at", parse_rfc3339(F.col("message_time")))
+    decoded = checked.selectExpr(
+        *kept,
         "device_id",
         "type",
         "message_time",
@@ -75,3 +78,4 @@ def decode(messages: DataFrame) -> DataFrame:
         "metrics",
         "NOT _typed OR (NOT _no_time AND occurred_at IS NULL) AS is_malformed",
     )
+    return evaluate_once(decoded, ["device_id", "type", "message_time", "occurred_at", "metrics", "is_malformed"])

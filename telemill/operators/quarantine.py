@@ -33,7 +33,7 @@ def failure_error(config: TransformConfig) -> Column:
         "unknown_data_type": quoted(fixed.UNKNOWN_DATA_TYPE),
         "metrics_missing": error_text("'target'", payload, "'null'", reason("metrics_missing"), "'metrics are missing'"),
         "payload_type": error_text(
-            "'target'", payload, payload, reason("payload_type"), "concat('fields of the wrong type: ', wrong_fields)"
+            "'target'", payload, payload, reason("payload_type"), f"concat('metrics do not fit ', {payload_name})"
         ),
         "payload_rules": error_text(
             config.registry.attribute("payload_label"), payload_name, payload_name, reason("payload_rules"),
@@ -45,18 +45,14 @@ def failure_error(config: TransformConfig) -> Column:
     return F.expr(lookup("failed_check", texts))
 
 
+# What is needed to rebuild and to replay a message.
+MESSAGE_COLUMNS = ("type", "device_id", "message_time", "metrics", "raw_value")
+
+
 def message_json() -> Column:
-    """The decoded message as JSON text; empty for the stage that never had one."""
-    body = F.to_json(
-        F.struct(
-            "device_id",
-            "type",
-            F.col("message_time").alias("timestamp"),
-            "metrics",
-        ),
-        {"ignoreNullFields": "false"},
-    )
-    return F.when(F.col("stage") == fixed.STAGE_PROCESS, F.lit("")).otherwise(body)
+    """The decoded message as JSON text."""
+    parts = "named_struct('device_id', device_id, 'type', type, 'timestamp', message_time, 'metrics', parse_json(metrics))"
+    return F.expr(f"to_json({parts}, map('ignoreNullFields', 'false'))")
 
 
 def failure_rows(classified: DataFrame, batch_id: str, config: TransformConfig | None = None) -> DataFrame:
@@ -68,7 +64,8 @@ def failure_rows(classified: DataFrame, batch_id: str, config: TransformConfig |
     config = config or TransformConfig()
     return classified.where(F.col("failed_check").isNotNull()).select(
         _failure_id(batch_id, F.col("stage")),
-        F.col("message") if "message" in classified.columns else message_json().alias("message"),
+        # The process stage never had a message.
+        F.when(F.col("stage") == fixed.STAGE_PROCESS, F.lit("")).otherwise(message_json()).alias("message"),
         failure_error(config).alias("error"),
         truncate_second(F.col("arrived_at")).alias("created_at"),
         _by_check("error_type").alias("error_type"),
@@ -90,12 +87,12 @@ def _failure_id(batch_id: str, stage: Column) -> Column:
 def conflict_rows(conflicts: DataFrame, batch_id: str) -> DataFrame:
     """Events refused by the key check, as quarantine rows of stage ``store``.
 
-    ``conflicts`` are events that still carry the ``message`` and ``raw_value`` they came from.
+    ``conflicts`` are events that still carry the ``MESSAGE_COLUMNS`` they came from.
     """
     failure = FAILURES["already_stored"]
     return conflicts.select(
         _failure_id(batch_id, F.lit(failure.stage)),
-        "message",
+        message_json().alias("message"),
         F.expr(
             error_text(
                 "'msg'", "'DeviceMessage'", "'DeviceMessage'", quoted(failure.reason),

@@ -15,6 +15,12 @@ from telemill import schemas
 # copies that differ, so that every plan picks the same one.
 _COPY_ORDER = ["topic", "partition", "offset", "ingested_at", "occurred_at", "event_type", "entity_id", "data"]
 
+# A Bloom filter on the key, sized by the keys a file really has.
+_LOOKUP_FILTER = {
+    "parquet.bloom.filter.enabled#event_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -94,9 +100,9 @@ def known_keys(events: DataFrame, first_day: date, last_day: date) -> DataFrame:
     return events.where(in_range).select("event_id", F.col("batch_id").alias("_stored_by"))
 
 
-def day_range(batch: DataFrame) -> tuple[date, date] | None:
-    """First and last ``ingest_date`` of a batch; None when it is empty."""
-    low, high = batch.agg(F.min("ingest_date"), F.max("ingest_date")).first()
+def day_range(batch: DataFrame, at: str) -> tuple[date, date] | None:
+    """First and last day of a batch; None when it is empty."""
+    low, high = batch.agg(F.to_date(F.min(at)), F.to_date(F.max(at))).first()
     return None if low is None else (low, high)
 
 
@@ -129,22 +135,18 @@ def _write_events(events: DataFrame, path: str, mode: str) -> None:
         .sortWithinPartitions(*schemas.EVENT_PARTITIONS, F.desc("ingested_at"), F.desc("event_id"))
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .option("parquet.bloom.filter.enabled#event_id", "true")
+        .options(**_LOOKUP_FILTER)
         .partitionBy(*schemas.EVENT_PARTITIONS)
         .parquet(path)
     )
 
 
-def append_failures(failed: DataFrame, path: str) -> None:
-    """Append quarantine rows, leaving out those a repeated batch has written before."""
-    spark = failed.sparkSession
-    low, high = failed.agg(F.min("created_date"), F.max("created_date")).first()
-    if low is None:
-        return
+def append_failures(failed: DataFrame, path: str, days: tuple[date, date]) -> None:
+    """Append quarantine rows of the given days, leaving out those a repeated batch has written before."""
     stored = (
-        spark.read.schema(schemas.FAILED_MESSAGES)
+        failed.sparkSession.read.schema(schemas.FAILED_MESSAGES)
         .parquet(path)
-        .where(F.col("created_date").between(F.lit(low), F.lit(high)))
+        .where(F.col("created_date").between(*map(F.lit, days)))
         .select("id")
     )
     (

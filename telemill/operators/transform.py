@@ -13,6 +13,7 @@ from telemill.functions.ids import event_id
 from telemill.functions.sql import lookup, name, one_of, quoted
 from telemill.functions.text import trim_space
 from telemill.operators import checks
+from telemill.operators.plan import evaluate_once
 
 
 @dataclass(frozen=True)
@@ -64,47 +65,53 @@ def enrich_from_table(messages: DataFrame, registry_table: DataFrame) -> DataFra
     return messages.join(registry_table, "domain", "left")
 
 
-def _get(f: T.StructField, kind: str) -> str:
-    path = f"$['{f.name}']"
-    return f"try_variant_get(metrics, {quoted(path)}, '{kind}')"
+def _parse_schema(spec: DomainSpec) -> str:
+    """Numbers are parsed as such; texts stay VARIANT first, since the parser turns numbers to text."""
+    kinds = {
+        f.name: "variant" if isinstance(f.dataType, T.StringType) else f.dataType.simpleString() for f in spec.schema
+    }
+    return ", ".join(f"{name(n)} {kind}" for n, kind in kinds.items()) + ", _corrupt string"
 
 
-def _kind(f: T.StructField) -> str:
-    """JSON type of a payload field; VOID when it is absent or null."""
-    return f"coalesce(schema_of_variant({_get(f, 'variant')}), 'VOID')"
-
-
-def _decode_field(f: T.StructField) -> str:
+def _value(spec: DomainSpec, f: T.StructField) -> str:
     """A payload field; absent and null become the zero value."""
+    raw = f"{name(spec.column)}.{name(f.name)}"
     if isinstance(f.dataType, T.VariantType):
-        return f"CASE WHEN {_kind(f)} <> 'VOID' THEN {_get(f, 'variant')} END"
-    if isinstance(f.dataType, T.StringType):
-        return f"CASE WHEN {_kind(f)} = 'STRING' THEN {_get(f, 'string')} ELSE '' END"
-    number = f"CASE WHEN {_kind(f)} NOT IN ('STRING', 'BOOLEAN') THEN {_get(f, 'double')} END"
-    return f"CAST(coalesce({number}, 0D) AS {f.dataType.simpleString()})"
-
-
-def _wrong_type(spec: DomainSpec, f: T.StructField) -> str:
-    """Whether the JSON value does not fit the declared field."""
-    if isinstance(f.dataType, T.VariantType):
-        return f"{_kind(f)} <> 'VOID' AND NOT startswith({_kind(f)}, 'OBJECT')"
+        return f"CASE WHEN NOT is_variant_null({raw}) THEN {raw} END"
     if isinstance(f.dataType, T.StringType):
-        return f"{_kind(f)} NOT IN ('STRING', 'VOID')"
-    out_of_range = f"abs({name(spec.column)}.{name(f.name)}) = double('Infinity')"
-    return f"{_kind(f)} RLIKE '^(STRING|BOOLEAN|OBJECT|ARRAY)' OR {out_of_range}"
+        return f"coalesce(try_variant_get({raw}, '$', 'string'), '')"
+    return f"coalesce({raw}, CAST(0 AS {f.dataType.simpleString()}))"
+
+
+def _misfits(spec: DomainSpec) -> list[str]:
+    """Conditions under which the JSON does not fit the declared fields; NULL counts as false."""
+    conditions = [f"{name(spec.column)}._corrupt IS NOT NULL"]
+    for f in spec.schema:
+        raw = f"{name(spec.column)}.{name(f.name)}"
+        if isinstance(f.dataType, T.VariantType):
+            conditions.append(f"NOT is_variant_null({raw}) AND NOT startswith(to_json({raw}), '{{')")
+        elif isinstance(f.dataType, T.StringType):
+            conditions.append(f"schema_of_variant({raw}) NOT IN ('STRING', 'VOID')")
+        else:
+            conditions.append(f"abs({raw}) = {f.dataType.simpleString()}('Infinity')")
+    return conditions
 
 
 def decode_payload(messages: DataFrame, registry: Registry) -> DataFrame:
-    """Add one typed payload struct per domain (NULL but for the row's own) and ``wrong_fields``."""
-    payloads, wrong = {}, {}
+    """Add one typed payload struct per domain (NULL but for the row's own) and ``is_misfit``."""
+    options = "map('columnNameOfCorruptRecord', '_corrupt', 'allowNonNumericNumbers', 'false')"
+    parsed, misfits, payloads = {}, [], {}
     for s in registry:
-        fields = ", ".join(f"{quoted(f.name)}, {_decode_field(f)}" for f in s.schema)
-        mine = f"domain = {quoted(s.type)} AND metrics IS NOT NULL"
-        payloads[s.column] = F.expr(f"CASE WHEN {mine} THEN named_struct({fields}) END")
-        misfits = ", ".join(f"CASE WHEN {_wrong_type(s, f)} THEN {quoted(f.name)} END" for f in s.schema)
-        wrong[s.type] = f"concat_ws(', ', {misfits})"
-    wrong_fields = f"CASE WHEN metrics IS NOT NULL THEN {lookup('domain', wrong)} END"
-    return messages.withColumns(payloads).withColumn("wrong_fields", F.expr(f"coalesce({wrong_fields}, '')"))
+        p = name(s.column)
+        parse = f"from_json(metrics, {quoted(_parse_schema(s))}, {options})"
+        parsed[s.column] = F.expr(f"CASE WHEN domain = {quoted(s.type)} AND metrics IS NOT NULL THEN {parse} END")
+        misfits += _misfits(s)
+        fields = ", ".join(f"{quoted(f.name)}, {_value(s, f)}" for f in s.schema)
+        payloads[s.column] = F.expr(f"CASE WHEN {p} IS NOT NULL THEN named_struct({fields}) END")
+    # Tested as an array: a lambda keeps this step out of the fused loop, whose method would grow
+    # beyond the 8000 bytes the JVM is willing to compile.
+    is_misfit = F.expr(f"coalesce(exists(array({', '.join(misfits)}), broken -> broken), false)")
+    return messages.withColumns(parsed).withColumns({**payloads, "is_misfit": is_misfit})
 
 
 def normalize_payload(messages: DataFrame, registry: Registry) -> DataFrame:
@@ -112,16 +119,6 @@ def normalize_payload(messages: DataFrame, registry: Registry) -> DataFrame:
     return messages.withColumns({s.column: F.expr(s.normalized()) for s in registry})
 
 
-def evaluate_once(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fix the columns' values at this point of the plan.
-
-    A filter on a computed column is otherwise pushed below the projection, which then parses the
-    message a second time to decide the filter. Filters do not move below a generator.
-    """
-    kept = [c for c in frame.columns if c not in columns]
-    return frame.select(*kept, F.inline(F.array(F.struct(*columns))))
-
-
 def classify(decoded: DataFrame, config: TransformConfig | None = None) -> DataFrame:
     """Judge every decoded message. ``failed_check`` is NULL for the good ones.
 
@@ -142,16 +139,15 @@ def classify(decoded: DataFrame, config: TransformConfig | None = None) -> DataF
             WHEN NOT {checks.allowed_sql(config.allow_list)} THEN 'unsupported_domain'
             WHEN NOT {checks.registered_sql(registry)} THEN 'unknown_data_type'
             WHEN metrics IS NULL THEN 'metrics_missing'
-            WHEN wrong_fields <> '' THEN 'payload_type'
+            WHEN is_misfit THEN 'payload_type'
             WHEN size(violations) > 0 THEN 'payload_rules'
             END"""
         ),
     )
     computed = [
-        "device_id", "type", "message_time", "occurred_at", "metrics", "domain", "entity_type",
-        "source", *[s.column for s in registry], "wrong_fields", "violations", "failed_check",
+        "domain", "entity_type", "source", *[s.column for s in registry], "violations", "failed_check",
     ]
-    once = evaluate_once(judged.drop("is_malformed"), computed)
+    once = evaluate_once(judged.drop("is_malformed", "is_misfit"), computed)
     return once.withColumn("stage", _by_check("stage"))
 
 

@@ -157,11 +157,9 @@ def _second_delivery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """Events of a second load: the stored messages again, and every order delivered twice."""
     orders = adapter.order_messages(spark, sf_dir)
     messages = adapter.device_messages(spark, sf_dir).unionByName(orders).unionByName(orders)
-    classified = tr.classify(decode(messages)).withColumn("message", quarantine.message_json())
-    batch = tr.to_events(classified, keep=("message", "raw_value"))
-    days = store.day_range(batch)
-    history = _events(spark, sf_dir)
-    known = store.known_keys(history, *days) if days else history.select("event_id", F.col("batch_id").alias("_stored_by"))
+    batch = tr.to_events(tr.classify(decode(messages)), keep=quarantine.MESSAGE_COLUMNS)
+    first_day, last_day = store.day_range(batch, "ingested_at")
+    known = store.known_keys(_events(spark, sf_dir), first_day, last_day)
     return store.check_keys(batch, known, "load-2")
 
 
@@ -425,7 +423,7 @@ def decode_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads as decoded, before normalisation."""
     registry = default_registry()
     resolved = tr.resolve_domain(decode(adapter.device_messages(spark, sf_dir)), registry)
-    return tr.decode_payload(resolved, registry).select("offset", "wrong_fields", *_typed_columns(_payload_column))
+    return tr.decode_payload(resolved, registry).select("offset", "is_misfit", *_typed_columns(_payload_column))
 
 
 def _normalized(spark: SparkSession, sf_dir: str, domain: str) -> DataFrame:

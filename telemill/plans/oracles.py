@@ -301,7 +301,7 @@ ORACLES: dict[str, str] = {
     ),
     "headers_map": _sql("SELECT \"offset\", 2 AS n, 'retry' AS trace, CAST(\"partition\" AS VARCHAR) AS zone FROM cls"),
     "decode_payload": _sql(
-        "SELECT \"offset\", '' AS wrong_fields, d_power AS power_w, r_energy AS energy_wh, r_voltage AS voltage_v, "
+        "SELECT \"offset\", false AS is_misfit, d_power AS power_w, r_energy AS energy_wh, r_voltage AS voltage_v, "
         "r_current AS current_ma, r_amount AS amount_minor, r_currency AS currency, r_merchant AS merchant, "
         "r_status AS status, d_temperature AS temperature_c, d_humidity AS humidity_percent, "
         "d_aqi AS air_quality_index FROM cls"

@@ -6,6 +6,7 @@ The work is the same for a stream and for a backfill; only the caller differs.
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -67,34 +68,35 @@ class IngestJob:
     def run(self, messages: DataFrame, batch_id: str) -> None:
         """Ingest a bounded set of messages. Repeating a batch id adds nothing."""
         spark = messages.sparkSession
-        classified = classify(self.decode(messages), self.config)
-        carried = classified.withColumn("message", quarantine.message_json()).drop("metrics", "headers")
+        carried = classify(self.decode(messages), self.config).drop("headers")
         if self.keep_batch:
             carried = carried.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            events = self._events(carried)
-            days = store.day_range(events)
-            sources = [self._failures(carried, batch_id)]
+            days = store.day_range(carried, "arrived_at")
             if days is not None:
-                known = store.known_keys(self.tables.events(spark), *days)
-                accepted, conflicts = store.check_keys(events, known, batch_id)
-                sink = self.event_sink or (lambda frame: store.append_events(frame, self.tables.events_path))
-                sink(accepted.withColumn("batch_id", F.lit(batch_id)))
-                sources.append(quarantine.conflict_rows(conflicts, batch_id))
-            failed = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1])
-            failure_sink = self.failure_sink or (lambda frame: store.append_failures(frame, self.tables.failed_path))
-            failure_sink(failed)
+                self._store(carried, batch_id, days)
             if self.on_counts is not None:
                 self.on_counts(batch_id, outcome_counts(carried))
         finally:
             if self.keep_batch:
                 carried.unpersist()
 
-    def _events(self, carried: DataFrame) -> DataFrame:
-        return to_events(carried, self.config, keep=("message", "raw_value"))
-
-    def _failures(self, carried: DataFrame, batch_id: str) -> DataFrame:
-        return quarantine.failure_rows(carried, batch_id, self.config)
+    def _store(self, carried: DataFrame, batch_id: str, days: tuple[date, date]) -> None:
+        events = to_events(carried, self.config, keep=quarantine.MESSAGE_COLUMNS)
+        known = store.known_keys(self.tables.events(carried.sparkSession), *days)
+        accepted, conflicts = store.check_keys(events, known, batch_id)
+        accepted = accepted.withColumn("batch_id", F.lit(batch_id))
+        if self.event_sink is not None:
+            self.event_sink(accepted)
+        else:
+            store.append_events(accepted, self.tables.events_path)
+        failed = quarantine.failure_rows(carried, batch_id, self.config).unionByName(
+            quarantine.conflict_rows(conflicts, batch_id)
+        )
+        if self.failure_sink is not None:
+            self.failure_sink(failed)
+        else:
+            store.append_failures(failed, self.tables.failed_path, days)
 
     def start(
         self,
