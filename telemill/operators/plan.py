@@ -14,3 +14,13 @@ def evaluate_once(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     kept = [c for c in frame.columns if c not in columns]
     return frame.select(*kept, F.inline(F.array(F.struct(*columns))))
+
+
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Use every core on an input of fewer splits than cores, such as one small file.
+
+    Decoding is bound by the processor, so the split count of a small input would limit it. An
+    input with enough splits is left as it is and not shuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame

@@ -5,18 +5,19 @@ from pyspark.sql import functions as F
 
 from telemill.functions.sql import quoted
 from telemill.functions.times import format_rfc3339
+from telemill.operators.plan import spread
 
 TOPIC = "ingestion.raw"
 ORDERS_TOPIC = "ingestion.orders"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
 
 
 def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as message fields, before they become JSON."""
-    source = _table(spark, sf_dir, "events").selectExpr(
+    source = _table(spark, sf_dir, "events", "event_id").selectExpr(
         "event_id AS n",
         "ts",
         "user_id",
@@ -85,7 +86,7 @@ def device_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``orders`` as a transaction on a second topic."""
-    orders = _table(spark, sf_dir, "orders")
+    orders = _table(spark, sf_dir, "orders", "o_orderkey")
     status = (
         F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
     )

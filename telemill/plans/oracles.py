@@ -394,6 +394,10 @@ ORACLES: dict[str, str] = {
         + " ELSE '+Inf' END AS le, count(*) AS n FROM "
         "(SELECT domain, epoch(ingested_at - occurred_at) AS s FROM silver) GROUP BY ALL"
     ),
+    "latency_percentiles": _sql(
+        "SELECT domain, quantile_disc(s, 0.5) AS p50, quantile_disc(s, 0.95) AS p95, quantile_disc(s, 0.99) AS p99 "
+        "FROM (SELECT domain, epoch(ingested_at - occurred_at) AS s FROM silver) GROUP BY domain"
+    ),
     "throughput_by_window": _sql("SELECT * FROM series", _series()),
     "throughput_tier": _sql(
         "SELECT topic, window_start, CASE WHEN processed >= 100 THEN 'Excellent' WHEN processed >= 50 THEN 'Good' "
