@@ -25,7 +25,7 @@ def replay_documents(spark: SparkSession, path: str, topic: str = "replay") -> D
     The raw text is kept, so decoding is as strict as for a topic. The record's position derives
     from its file: loading the same file again gives the same events.
     """
-    documents = spark.read.option("wholetext", "true").text(path)
+    documents = spark.read.text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     return documents.select(
         F.lit(topic).alias("topic"),
