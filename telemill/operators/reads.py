@@ -56,7 +56,7 @@ def before(ingested_at: datetime | Column, event_id: str | Column) -> Column:
     Written out instead of comparing tuples: this form gives the reader the range ``ingested_at <=
     t`` to skip row groups with.
     """
-    t = ingested_at if isinstance(ingested_at, Column) else F.lit(ingested_at).cast("timestamp_ntz")
+    t = ingested_at if isinstance(ingested_at, Column) else F.lit(ingested_at.isoformat(" ")).cast("timestamp_ntz")
     i = event_id if isinstance(event_id, Column) else F.lit(event_id)
     at = F.col("ingested_at")
     return (at <= t) & ((at < t) | (F.col("event_id") < i))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill import schemas
+from telemill.functions.times import utc
 
 # Among copies of a key the earliest position wins; the rest of the list only breaks ties between
 # copies that differ, so that every plan picks the same one.
@@ -100,9 +101,14 @@ def known_keys(events: DataFrame, first_day: date, last_day: date) -> DataFrame:
     return events.where(in_range).select("event_id", F.col("batch_id").alias("_stored_by"))
 
 
-def day_range(batch: DataFrame, at: str) -> tuple[date, date] | None:
-    """First and last day of a batch; None when it is empty."""
-    low, high = batch.agg(F.to_date(F.min(at)), F.to_date(F.max(at))).first()
+def day_range(messages: DataFrame) -> tuple[date, date] | None:
+    """First and last arrival day of a batch of records; None when it is empty.
+
+    Only the arrival times are read: nothing is decoded for it.
+    """
+    low, high = messages.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).select(
+        F.to_date(utc(F.col("low"))), F.to_date(utc(F.col("high")))
+    ).first()
     return None if low is None else (low, high)
 
 

@@ -162,6 +162,12 @@ def payload_json(registry: Registry) -> Column:
     return F.expr(lookup("domain", texts))
 
 
+def compact(classified: DataFrame, registry: Registry) -> DataFrame:
+    """Payload structs replaced by their JSON text, for keeping a batch."""
+    texts = classified.withColumn("data", payload_json(registry))
+    return texts.drop("headers", *[s.column for s in registry])
+
+
 def to_events(
     classified: DataFrame, config: TransformConfig | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -178,7 +184,7 @@ def to_events(
         F.col("arrived_at").alias("ingested_at"),
         "source",
         F.lit(fixed.SCHEMA_VERSION).alias("schema_version"),
-        payload_json(config.registry).alias("data"),
+        F.col("data") if "data" in classified.columns else payload_json(config.registry).alias("data"),
         F.lit(None).cast("string").alias("metadata"),
         "topic",
         "partition",

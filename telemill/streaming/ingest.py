@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from telemill.operators import quarantine, store
 from telemill.operators.decode import decode
-from telemill.operators.transform import TransformConfig, classify, to_events
+from telemill.operators.transform import TransformConfig, classify, compact, to_events
 
 log = logging.getLogger(__name__)
 
@@ -61,36 +61,43 @@ class IngestJob:
     event_sink: Sink | None = None
     failure_sink: Sink | None = None
     on_counts: Callable[[str, DataFrame], None] | None = None
-    # A micro-batch is read by both sinks; keeping it saves the second decode. Turn off for a
-    # backfill too large to keep.
-    keep_batch: bool = True
+    # The judged batch is read several times. By default Spark keeps it in memory and on local disk,
+    # which suits a micro-batch. A folder shared by the executors keeps it as a table there, which
+    # suits a backfill larger than the cluster's memory and does not depend on any executor.
+    staging: str | None = None
 
     def run(self, messages: DataFrame, batch_id: str) -> None:
         """Ingest a bounded set of messages. Repeating a batch id adds nothing."""
-        spark = messages.sparkSession
-        carried = classify(self.decode(messages), self.config).drop("headers")
-        if self.keep_batch:
-            carried = carried.persist(StorageLevel.MEMORY_AND_DISK)
+        days = store.day_range(messages)
+        if days is None:
+            return
+        judged = compact(classify(self.decode(messages), self.config), self.config.registry)
+        if self.staging is not None:
+            folder = f"{self.staging.rstrip('/')}/{batch_id}"
+            judged.write.mode("overwrite").parquet(folder)
+            self._write(judged.sparkSession.read.schema(judged.schema).parquet(folder), batch_id, days)
+            return
+        judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            days = store.day_range(carried, "arrived_at")
-            if days is not None:
-                self._store(carried, batch_id, days)
-            if self.on_counts is not None:
-                self.on_counts(batch_id, outcome_counts(carried))
+            self._write(judged, batch_id, days)
         finally:
-            if self.keep_batch:
-                carried.unpersist()
+            judged.unpersist()
 
-    def _store(self, carried: DataFrame, batch_id: str, days: tuple[date, date]) -> None:
-        events = to_events(carried, self.config, keep=quarantine.MESSAGE_COLUMNS)
-        known = store.known_keys(self.tables.events(carried.sparkSession), *days)
+    def _write(self, judged: DataFrame, batch_id: str, days: tuple[date, date]) -> None:
+        self._store(judged, batch_id, days)
+        if self.on_counts is not None:
+            self.on_counts(batch_id, outcome_counts(judged))
+
+    def _store(self, judged: DataFrame, batch_id: str, days: tuple[date, date]) -> None:
+        events = to_events(judged, self.config, keep=quarantine.MESSAGE_COLUMNS)
+        known = store.known_keys(self.tables.events(judged.sparkSession), *days)
         accepted, conflicts = store.check_keys(events, known, batch_id)
         accepted = accepted.withColumn("batch_id", F.lit(batch_id))
         if self.event_sink is not None:
             self.event_sink(accepted)
         else:
             store.append_events(accepted, self.tables.events_path)
-        failed = quarantine.failure_rows(carried, batch_id, self.config).unionByName(
+        failed = quarantine.failure_rows(judged, batch_id, self.config).unionByName(
             quarantine.conflict_rows(conflicts, batch_id)
         )
         if self.failure_sink is not None:

@@ -75,8 +75,10 @@ def test_batch_repeated_after_a_crash_between_the_sinks(spark, tables):
     assert [r["stage"] for r in tables.failed(spark).collect()] == ["process"]
 
 
-def test_backfill_without_keeping_the_batch(spark, tables):
-    IngestJob(tables, keep_batch=False).run(spread_over_days(spark, [energy(), "junk", finance()]), "b1")
+def test_backfill_staged_as_a_table(spark, tables, tmp_path):
+    job = IngestJob(tables, staging=str(tmp_path / "staging"))
+    for _ in range(2):
+        job.run(spread_over_days(spark, [energy(), "junk", finance()]), "b1")
     assert (tables.events(spark).count(), tables.failed(spark).count()) == (2, 1)
 
 
