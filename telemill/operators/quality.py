@@ -17,8 +17,12 @@ ERROR = "error"
 
 def table_stats(events: DataFrame, failed: DataFrame) -> DataFrame:
     """Row counts of both tables, as one row."""
-    stored = events.agg(F.count("*").alias("total_events"))
-    return stored.crossJoin(failed.agg(F.count("*").alias("failed_messages")))
+    none = F.lit(0).cast("bigint")
+    stored = events.agg(F.count("*").alias("total_events")).withColumn("failed_messages", none)
+    refused = failed.agg(F.count("*").alias("failed_messages")).withColumn("total_events", none)
+    return stored.unionByName(refused).agg(
+        F.sum("total_events").alias("total_events"), F.sum("failed_messages").alias("failed_messages")
+    )
 
 
 def failed_by_stage(failed: DataFrame) -> DataFrame:
@@ -191,11 +195,9 @@ def freshness(events: DataFrame, as_of: Column | None = None) -> DataFrame:
     """
     latest = events.groupBy("source").agg(F.max("ingested_at").alias("last_ingested_at"))
     if as_of is None:
-        clock = latest.agg(F.max("last_ingested_at").alias("as_of"))
-        # One row on either side but the sources, of which there is one per domain.
-        latest = latest.crossJoin(clock)
-    else:
-        latest = latest.withColumn("as_of", as_of)
+        # One row per source is all that this window spans.
+        as_of = F.max("last_ingested_at").over(Window.partitionBy())
+    latest = latest.withColumn("as_of", as_of)
     age = F.timestamp_diff("SECOND", F.col("last_ingested_at"), F.col("as_of"))
     return latest.select(
         "source",

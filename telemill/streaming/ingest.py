@@ -3,6 +3,7 @@
 The work is the same for a stream and for a backfill; only the caller differs.
 """
 
+import hashlib
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -113,8 +114,10 @@ class IngestJob:
         trigger: dict | None = None,
     ) -> StreamingQuery:
         """Ingest a stream. ``trigger`` is that of the stream writer, e.g. ``{"availableNow": True}``."""
+        # Batches are counted per checkpoint, so its location is part of the batch id.
+        origin = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
         writer = messages.writeStream.foreachBatch(
-            lambda batch, batch_id: self.run(batch, f"{name or 'ingest'}-{batch_id}")
+            lambda batch, batch_id: self.run(batch, f"{origin}-{batch_id}")
         ).option("checkpointLocation", checkpoint)
         if name:
             writer = writer.queryName(name)
