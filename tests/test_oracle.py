@@ -6,9 +6,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_point
+from telemill.plans import catalog, oracles
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, oracles.ORACLES
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
 
@@ -30,5 +31,10 @@ def test_query(spark, connection, name):
     assert rows == expected_rows
 
 
+def test_entry_point_registers_all():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 20
