@@ -1,9 +1,13 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
-from telemill.llm import exact, mixing
+from telemill.llm import exact, language, mixing
 from telemill.llm.staging import table
 
 
+def op1_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -12,7 +16,7 @@ def op9_exact_dedup(spark, sf_dir):
     return exact.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
