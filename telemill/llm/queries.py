@@ -1,6 +1,8 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
-from telemill.llm import exact, language, mixing
+import public_tokenizers
+
+from telemill.llm import exact, language, mixing, pieces
 from telemill.llm.staging import table
 
 
@@ -12,11 +14,15 @@ def op2_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_piece_tokens(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op6_piece_tokens, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
