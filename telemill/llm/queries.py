@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from telemill.llm import exact, language, mixing, pieces
+from telemill.llm import exact, language, lines, mixing, pieces, secrets
 from telemill.llm.staging import table
 
 
@@ -14,6 +14,10 @@ def op2_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_piece_tokens(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -22,9 +26,29 @@ def op9_exact_dedup(spark, sf_dir):
     return exact.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op6_piece_tokens, op9_exact_dedup)}
+def op10_secret_scan(spark, sf_dir):
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_line_dedup, op6_piece_tokens, op9_exact_dedup, op10_secret_scan)}
 
 ORACLES = {
+    "op3_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, generate_subscripts(parts, 1) AS k, unnest(parts) AS line
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+        ), keyed AS (
+            SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM lines
+        ), counted AS (
+            SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS keeper FROM keyed
+            WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), judged AS (
+            SELECT doc_id, k, line, coalesce(keeper <> doc_id, false) AS gone FROM keyed LEFT JOIN counted USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
     "op9_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
