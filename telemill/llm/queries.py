@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from telemill.llm import exact, language, lines, mixing, pieces, secrets
+from telemill.llm import exact, language, lines, mixing, pieces, quality, secrets, toxicity
 from telemill.llm.staging import table
 
 
@@ -18,10 +18,18 @@ def op3_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_piece_tokens(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact.dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -30,7 +38,7 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_line_dedup, op6_piece_tokens, op9_exact_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_line_dedup, op5_toxicity, op6_piece_tokens, op8_quality, op9_exact_dedup, op10_secret_scan)}
 
 ORACLES = {
     "op3_line_dedup": """

@@ -31,6 +31,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Everything but letters and the bytes of longer characters separates words.
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 BLOCK = 1 << 20
@@ -70,7 +73,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about ``BLOCK`` that cut no word: they end at a blank or at a row's border."""
     start, total = 0, len(data)
     while start < total:
@@ -78,25 +81,28 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         if end < total:
             border = int(offsets[np.searchsorted(offsets, end)])
             while end < border:
-                blank = np.flatnonzero(_BLANK[data[end : min(end + 4096, border)]])
-                if len(blank):
-                    end += int(blank[0])
+                found = np.flatnonzero(blank[data[end : min(end + 4096, border)]])
+                if len(found):
+                    end += int(found[0])
                     break
                 end = min(end + 4096, border)
         yield start, end
         start = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK, stem: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased) in order, and the row each belongs to.
 
     A word's hash is a polynomial in an odd base, read off one running sum per block, then mixed.
+    ``blank`` tells which bytes separate words; with ``stem`` only that many first bytes count.
     """
     hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for start, end in _cuts(data, offsets):
+    for start, end in _cuts(data, offsets, blank):
         block = data[start:end]
         power, inverse = _power_tables(max(BLOCK, len(block)))
-        inside = ~_BLANK[block]
+        inside = ~blank[block]
         first = np.zeros(len(block) + 1, bool)
         borders = offsets[(offsets >= start) & (offsets < end)] - start
         first[borders] = True
@@ -104,6 +110,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         begins = inside & (first[:-1] | ~np.r_[False, inside[:-1]])
         ends = inside & (first[1:] | ~np.r_[inside[1:], False])
         begin, last = np.flatnonzero(begins), np.flatnonzero(ends)
+        if stem:
+            last = np.minimum(last, begin + stem - 1)
         sums = np.cumsum(_LOWER[block].astype(np.uint64) * power[: len(block)], dtype=np.uint64)
         before = np.where(begin > 0, sums[begin - 1], np.uint64(0))
         value = (sums[last] - before) * inverse[begin]
