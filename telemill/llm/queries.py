@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from telemill.llm import exact, language, lines, mixing, pieces, quality, secrets, toxicity
+from telemill.llm import exact, language, lines, minmax, mixing, pieces, quality, secrets, toxicity
 from telemill.llm.staging import table
 
 
@@ -26,6 +26,11 @@ def op6_piece_tokens(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_minmax_dedup(spark, sf_dir):
+    found = minmax.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,7 +43,7 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_line_dedup, op5_toxicity, op6_piece_tokens, op8_quality, op9_exact_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_line_dedup, op5_toxicity, op6_piece_tokens, op7_minmax_dedup, op8_quality, op9_exact_dedup, op10_secret_scan)}
 
 ORACLES = {
     "op3_line_dedup": """
