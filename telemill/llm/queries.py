@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from telemill.llm import exact, language, lines, minmax, mixing, pieces, quality, secrets, toxicity
+from telemill.llm import exact, language, lines, minmax, mixing, pieces, quality, secrets, toxicity, vectors
 from telemill.llm.staging import table
 
 
@@ -18,6 +18,10 @@ def op3_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_lattice_dedup(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,21 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_line_dedup, op5_toxicity, op6_piece_tokens, op7_minmax_dedup, op8_quality, op9_exact_dedup, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_source_mix,
+        op3_line_dedup,
+        op4_lattice_dedup,
+        op5_toxicity,
+        op6_piece_tokens,
+        op7_minmax_dedup,
+        op8_quality,
+        op9_exact_dedup,
+        op10_secret_scan,
+    )
+}
 
 ORACLES = {
     "op3_line_dedup": """
