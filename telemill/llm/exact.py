@@ -22,8 +22,13 @@ from telemill.llm.staging import staged
 from telemill.llm.text import lower_ascii
 from telemill.scratch import new_folder
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk; a checkpoint takes what changed; no disk is reserved ahead.
+SETTINGS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+}
 _CHANGES = (
     "digest binary, keep_id bigint, locator struct<doc_id: bigint, file: string, raw: bigint>, "
     "n_rows bigint, batch int"
@@ -65,8 +70,9 @@ def stream_state(spark: SparkSession, path: str, folder: str, files_per_batch: i
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         (
             state.writeStream.outputMode("update")
@@ -77,7 +83,8 @@ def stream_state(spark: SparkSession, path: str, folder: str, files_per_batch: i
             .awaitTermination()
         )
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     return (
         spark.read.schema(_CHANGES)
         .parquet(changes)
