@@ -7,10 +7,12 @@ similarity 0.8 misses all bands with a chance of ``(1 - 0.8**6)**32``, below 1e-
 on the full sets.
 
 Documents of equal sets form one class, linked as such; only one document of a class is compared. In
-a bucket not all pairs are made: members are compared with a few hubs first, links join them to
-components, and only pairs that lie in different components are compared further. When these have
-become few (in proportion to the members) all of them are compared, so the components are those of all
-pairs that share a bucket. A hub meets its members in slices, so no task gets all of a large bucket.
+a bucket not all pairs are made. First every member is compared with the bucket's hub, and links join
+the members to components. What is left are pairs in different components: tasks go through a bucket
+block by block and compare eight bits of every signature value; each member's ``BEST`` most similar
+partners are confirmed first, and at last all pairs whose estimate is within ``MARGIN`` (3.5 standard
+deviations) of the threshold. A pair that shares several buckets is taken from the first. A hub meets
+its members in slices, so no task gets all of a large bucket.
 
 Nulls and ties: null text and text without words have an empty set, linked with nothing and kept. With
 fewer words than a shingle has, the whole sequence is the one shingle. Repeated rows are in one
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.components import connected
+from telemill.llm.groups import grouped
 from telemill.llm.staging import staged
 from telemill.llm.text import flat, mix, row_slices, word_hashes
 
@@ -33,8 +36,9 @@ PERMUTATIONS = 96
 BAND_VALUES = 6
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
 SLICE = 1 << 20
-#: Pairs are compared all at once when there are at most so many for each member of a bucket.
-PAIRS_PER_MEMBER = 4
+BLOCK = 1024
+BEST = 2
+MARGIN = 0.1
 HUB_SLICES = 16
 
 _random = np.random.default_rng(20_240_607)
@@ -66,8 +70,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return (np.concatenate(sets) if sets else value), np.r_[0, np.cumsum(sizes)]
 
 
-def band_hashes(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """The ``BANDS`` band hashes of each set; no set may be empty."""
+def band_hashes(values: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``BANDS`` band hashes of each set, and a byte of each signature value; no set may be empty."""
     signature = np.empty((len(borders) - 1, 2 * PERMUTATIONS), np.uint64)
     for k in range(PERMUTATIONS):
         hashed = values * _FACTORS[k] + _TERMS[k]
@@ -76,7 +80,7 @@ def band_hashes(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     bands = np.zeros((len(borders) - 1, BANDS), np.uint64)
     for k in range(BAND_VALUES):
         bands = mix(bands * _STEP + signature[:, k::BAND_VALUES])
-    return bands.view(np.int64)
+    return bands.view(np.int64), mix(signature).astype(np.uint8)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -88,13 +92,14 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             sizes = np.diff(borders)
             full = np.flatnonzero(sizes)
             low, high = (np.zeros(end - start, np.uint64) for _ in range(2))
-            bands = np.zeros((len(full), BANDS), np.int64)
+            bands, sketches = np.zeros((0, BANDS), np.int64), np.zeros((0, 2 * PERMUTATIONS), np.uint8)
             if len(full):
                 starts = borders[full]
                 low[full] = np.add.reduceat(mix(values ^ np.uint64(1)), starts)
                 high[full] = np.add.reduceat(mix(values * _STEP), starts)
-                bands = band_hashes(values, np.r_[starts, borders[-1]])
+                bands, sketches = band_hashes(values, np.r_[starts, borders[-1]])
             counts = np.where(sizes > 0, BANDS, 0)
+            lengths = np.where(sizes > 0, 2 * PERMUTATIONS, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(start, end - start),
@@ -105,8 +110,17 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
                     pa.ListArray.from_arrays(
                         pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(bands.ravel())
                     ),
+                    pa.Array.from_buffers(
+                        pa.binary(),
+                        end - start,
+                        [
+                            None,
+                            pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int32)),
+                            pa.py_buffer(np.ascontiguousarray(sketches)),
+                        ],
+                    ),
                 ],
-                names=["doc_id", "raw", "n_shingles", "low", "high", "bands"],
+                names=["doc_id", "raw", "n_shingles", "low", "high", "bands", "sketch"],
             )
 
 
@@ -117,10 +131,11 @@ def _located(documents: DataFrame) -> DataFrame:
 
 
 def signatures(documents: DataFrame, words: int) -> DataFrame:
-    """Stored: ``row, doc_id, raw, n_shingles, low, high, bands``; ``low, high`` identify the set."""
+    """Stored: ``row, doc_id, raw, n_shingles, low, high, bands, sketch``; ``low, high`` identify the set."""
     signed = _located(documents).mapInArrow(
         lambda batches: _sign(batches, words),
-        "doc_id bigint, raw bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>",
+        "doc_id bigint, raw bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, "
+        "sketch binary",
     )
     return staged(signed.select(F.monotonically_increasing_id().alias("row"), "*"), "minmax-signatures")
 
@@ -172,19 +187,77 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _possible(percent: int):
-    """Sizes alone allow the similarity."""
-    few, many = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return 100 * few >= percent * many
+def _suggest(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block in different components that look similar: all, or each member's ``best``."""
+    for group in grouped(batches, ["bucket", "i", "j"]):
+        column = {c: group.column(c).to_numpy() for c in ("node", "label", "size", "part")}
+        node, label, size, part = column.values()
+        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)[:, :band]
+        found_a, found_b = [], []
+        for x in range(len(node)):
+            other = (label != label[x]) & ((part == j if part[x] == i else part == i) if i != j else True)
+            other &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
+            if not best:
+                other &= node > node[x]
+            y = np.flatnonzero(other)
+            y = y[~(bands[y] == bands[x]).any(axis=1)]
+            if not len(y):
+                continue
+            alike = (sketches[y] == sketches[x]).mean(axis=1)
+            near = np.flatnonzero(alike >= percent / 100 - MARGIN)
+            if best:
+                near = near[np.argsort(-alike[near], kind="stable")[:best]]
+            found_a.append(np.full(len(near), node[x]))
+            found_b.append(node[y[near]])
+        if found_a:
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+            )
+
+
+def _suggested(members: DataFrame, labels: DataFrame, signed: DataFrame, percent: int, best: int) -> DataFrame:
+    """``a, b``: pairs to confirm, from the buckets that hold several components."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = (
+        labelled.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+        .where("least <> most")
+        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    )
+    tasks = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")),
+    )
+    rows = (
+        labelled.join(mixed, "bucket")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("task", F.explode(tasks))
+        .join(signed.select(F.col("row").alias("node"), "bands", "sketch"), "node")
+        .select("bucket", "task.i", "task.j", "band", "node", "label", "size", "part", "bands", "sketch")
+    )
+    return (
+        rows.repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j")
+        .mapInArrow(lambda batches: _suggest(batches, percent, best), "a bigint, b bigint")
+        .distinct()
+    )
 
 
 def links(signed: DataFrame, classes: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """``node, label``: components of classes, from all pairs of classes that share a bucket."""
+    """``node, label``: components of the classes that are linked."""
     reps = signed.join(classes.select("row"), "row")
     entries = reps.select(
         F.col("row").alias("node"), F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "value")
-    ).select("node", "size", F.xxhash64("band", "value").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    ).select("node", "size", "band", F.xxhash64("band", "value").alias("bucket"))
+    crowded = (
+        entries.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("hub"))
+        .where("n > 1")
+        .select("bucket", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
+    )
     members = staged(entries.join(crowded, "bucket"), "minmax-members")
     located = signed.join(members.select(F.col("node").alias("row")).distinct(), "row").select(
         F.col("row").alias("node"), F.col("doc_id").alias("at_id"), F.col("raw").alias("at_raw")
@@ -197,47 +270,17 @@ def links(signed: DataFrame, classes: DataFrame, documents: DataFrame, words: in
         .dropDuplicates(["node"]),
         "minmax-sets",
     )
-    edges, labels, hubs, turn = [], None, 1, 0
-    while True:
-        if labels is None:
-            labelled = members.withColumn("label", F.col("node"))
-        else:
-            labelled = members.join(labels, "node", "left").select(
-                "bucket", "node", "size", F.coalesce("label", "node").alias("label")
-            )
-        per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        open_ = (
-            per_label.groupBy("bucket")
-            .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"), F.count(F.lit(1)).alias("labels"))
-            .where("labels > 1")
-        )
-        members = staged(labelled.join(open_.select("bucket"), "bucket"), "minmax-open")
-        left = open_.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2)).first()
-        if not left[0]:
-            break
-        last = left[1] <= PAIRS_PER_MEMBER * left[0]
-        columns = lambda s: [F.col("node").alias(s), F.col("label").alias(f"l_{s}"), F.col("size").alias(f"n_{s}")]
-        if last:
-            near = members
-        else:
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-            near = staged(
-                members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs).drop("rank"),
-                "minmax-hubs",
-            )
-        met = near.select("bucket", *columns("a")).join(members.select("bucket", *columns("b")), "bucket")
-        pairs = met.where((F.col("l_a") != F.col("l_b")) & _possible(percent))
-        pairs = (pairs.where("a < b") if last else pairs).select("a", "b").distinct()
-        edges.append(staged(confirmed(pairs, sets, percent), "minmax-links"))
-        joined = edges[0]
-        for more in edges[1:]:
-            joined = joined.unionByName(more)
-        labels = connected(joined)
-        if last:
-            break
-        members = members.join(near.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("label")
-        hubs, turn = hubs * 4, turn + 1
-    return labels if labels is not None else members.select("node", F.col("node").alias("label"))
+    possible = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    stars = members.where((F.col("node") != F.col("hub")) & possible).select(
+        F.col("hub").alias("a"), F.col("node").alias("b")
+    )
+    found = staged(confirmed(stars.distinct(), sets, percent), "minmax-links")
+    labels = connected(found)
+    for best in (BEST, 0):
+        more = confirmed(_suggested(members, labels, signed, percent, best), sets, percent)
+        found = found.unionByName(staged(more, "minmax-links"))
+        labels = connected(found)
+    return labels
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -255,8 +298,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     )
     firsts = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     found = labelled.join(firsts, "label").select("low", "high", "n_shingles", "component_id")
-    linked = signed.drop("bands").where("n_shingles > 0").join(found, ["low", "high", "n_shingles"])
-    alone = signed.drop("bands").where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    linked = signed.drop("bands", "sketch").where("n_shingles > 0").join(found, ["low", "high", "n_shingles"])
+    alone = signed.drop("bands", "sketch").where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone).select(
         "row",
         "doc_id",

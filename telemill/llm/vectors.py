@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.components import connected
+from telemill.llm.groups import grouped
 from telemill.llm.staging import staged
 from telemill.llm.text import mix
 
@@ -241,22 +242,8 @@ def _meet(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "n"])
 
     _recent.clear()
-    waiting: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "i", "j")], axis=1)
-        borders = np.r_[0, np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, len(keys)]
-        for start, end in zip(borders[:-1], borders[1:], strict=True):
-            if start == end:
-                continue
-            key = tuple(keys[start])
-            if waiting and key != last:
-                yield judged(pa.Table.from_batches(waiting))
-                waiting = []
-            waiting.append(batch.slice(int(start), int(end - start)))
-            last = key
-    if waiting:
-        yield judged(pa.Table.from_batches(waiting))
+    for group in grouped(batches, ["cell", "i", "j"]):
+        yield judged(group)
 
 
 def class_links(classes: DataFrame, cosine: float) -> DataFrame:
