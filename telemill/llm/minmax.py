@@ -9,9 +9,10 @@ on the full sets.
 Documents of equal sets form one class, linked as such; only one document of a class is compared. In
 a bucket not all pairs are made. First every member is compared with the bucket's hub, and links join
 the members to components. What is left are pairs in different components: tasks go through a bucket
-block by block and compare eight bits of every signature value; each member's ``BEST`` most similar
-partners are confirmed first, and at last all pairs whose estimate is within ``MARGIN`` (3.5 standard
-deviations) of the threshold. A pair that shares several buckets is taken from the first. A hub meets
+block by block and compare sketches, eight bits of each of ``2 * SKETCH`` further minima and maxima. The
+``BEST`` most similar partners of members outside the bucket's largest component are confirmed
+first, and at last all pairs whose estimate is within ``MARGIN`` (three standard deviations) of the
+threshold. A pair that shares several buckets is taken from the first. A hub meets
 its members in slices, so no task gets all of a large bucket.
 
 Nulls and ties: null text and text without words have an empty set, linked with nothing and kept. With
@@ -38,12 +39,13 @@ BANDS = 2 * PERMUTATIONS // BAND_VALUES
 SLICE = 1 << 20
 BLOCK = 1024
 BEST = 2
-MARGIN = 0.1
+SKETCH = 256
+MARGIN = 0.055
 HUB_SLICES = 16
 
 _random = np.random.default_rng(20_240_607)
-_FACTORS = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64) << np.uint64(1) | np.uint64(1)
-_TERMS = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
+_FACTORS = _random.integers(0, 1 << 63, PERMUTATIONS + SKETCH, np.uint64) << np.uint64(1) | np.uint64(1)
+_TERMS = _random.integers(0, 1 << 63, PERMUTATIONS + SKETCH, np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -70,17 +72,28 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return (np.concatenate(sets) if sets else value), np.r_[0, np.cumsum(sizes)]
 
 
-def band_hashes(values: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ``BANDS`` band hashes of each set, and a byte of each signature value; no set may be empty."""
-    signature = np.empty((len(borders) - 1, 2 * PERMUTATIONS), np.uint64)
-    for k in range(PERMUTATIONS):
-        hashed = values * _FACTORS[k] + _TERMS[k]
-        signature[:, 2 * k] = np.minimum.reduceat(hashed, borders[:-1])
-        signature[:, 2 * k + 1] = np.maximum.reduceat(hashed, borders[:-1])
+def min_max(values: np.ndarray, borders: np.ndarray, functions: range) -> np.ndarray:
+    """Smallest and largest value of each hash function over each set; no set may be empty."""
+    found = np.empty((len(borders) - 1, 2 * len(functions)), np.uint64)
+    for k, function in enumerate(functions):
+        hashed = values * _FACTORS[function] + _TERMS[function]
+        found[:, 2 * k] = np.minimum.reduceat(hashed, borders[:-1])
+        found[:, 2 * k + 1] = np.maximum.reduceat(hashed, borders[:-1])
+    return found
+
+
+def band_hashes(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` band hashes of each set."""
+    signature = min_max(values, borders, range(PERMUTATIONS))
     bands = np.zeros((len(borders) - 1, BANDS), np.uint64)
     for k in range(BAND_VALUES):
         bands = mix(bands * _STEP + signature[:, k::BAND_VALUES])
-    return bands.view(np.int64), mix(signature).astype(np.uint8)
+    return bands.view(np.int64)
+
+
+def sketches(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """A byte of each of the further minima and maxima."""
+    return mix(min_max(values, borders, range(PERMUTATIONS, PERMUTATIONS + SKETCH))).astype(np.uint8)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -92,14 +105,13 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             sizes = np.diff(borders)
             full = np.flatnonzero(sizes)
             low, high = (np.zeros(end - start, np.uint64) for _ in range(2))
-            bands, sketches = np.zeros((0, BANDS), np.int64), np.zeros((0, 2 * PERMUTATIONS), np.uint8)
+            bands = np.zeros((0, BANDS), np.int64)
             if len(full):
                 starts = borders[full]
                 low[full] = np.add.reduceat(mix(values ^ np.uint64(1)), starts)
                 high[full] = np.add.reduceat(mix(values * _STEP), starts)
-                bands, sketches = band_hashes(values, np.r_[starts, borders[-1]])
+                bands = band_hashes(values, np.r_[starts, borders[-1]])
             counts = np.where(sizes > 0, BANDS, 0)
-            lengths = np.where(sizes > 0, 2 * PERMUTATIONS, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(start, end - start),
@@ -110,17 +122,8 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
                     pa.ListArray.from_arrays(
                         pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(bands.ravel())
                     ),
-                    pa.Array.from_buffers(
-                        pa.binary(),
-                        end - start,
-                        [
-                            None,
-                            pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int32)),
-                            pa.py_buffer(np.ascontiguousarray(sketches)),
-                        ],
-                    ),
                 ],
-                names=["doc_id", "raw", "n_shingles", "low", "high", "bands", "sketch"],
+                names=["doc_id", "raw", "n_shingles", "low", "high", "bands"],
             )
 
 
@@ -131,11 +134,10 @@ def _located(documents: DataFrame) -> DataFrame:
 
 
 def signatures(documents: DataFrame, words: int) -> DataFrame:
-    """Stored: ``row, doc_id, raw, n_shingles, low, high, bands, sketch``; ``low, high`` identify the set."""
+    """Stored: ``row, doc_id, raw, n_shingles, low, high, bands``; ``low, high`` identify the set."""
     signed = _located(documents).mapInArrow(
         lambda batches: _sign(batches, words),
-        "doc_id bigint, raw bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, "
-        "sketch binary",
+        "doc_id bigint, raw bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>",
     )
     return staged(signed.select(F.monotonically_increasing_id().alias("row"), "*"), "minmax-signatures")
 
@@ -147,8 +149,10 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             part = data[offsets[start] : offsets[end]]
             values, borders = shingles(part, offsets[start : end + 1] - offsets[start], words)
             sets = [values[borders[k] : borders[k + 1]].tobytes() for k in range(end - start)]
+            rough = [row.tobytes() for row in sketches(values, borders)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(start, end - start), pa.array(sets, pa.binary())], names=["node", "members"]
+                [batch.column("node").slice(start, end - start), pa.array(sets, pa.binary()), pa.array(rough, pa.binary())],
+                names=["node", "members", "sketch"],
             )
 
 
@@ -173,9 +177,9 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough. Both ends meet in slices of a hub."""
-    sliced = pairs.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(HUB_SLICES)))
-    of_hub = sliced.select("a", "slice").distinct().join(sets, F.col("a") == F.col("node"))
-    of_member = sliced.join(sets, F.col("b") == F.col("node"))
+    sliced = staged(pairs, "minmax-pairs").withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(HUB_SLICES)))
+    of_hub = sliced.select("a", "slice").distinct().join(sets, F.col("a") == F.col("node")).drop("sketch")
+    of_member = sliced.join(sets, F.col("b") == F.col("node")).drop("sketch")
     columns = ["a", "slice", "b", "members"]
     return (
         of_hub.withColumn("b", F.lit(None).cast("bigint"))
@@ -193,10 +197,12 @@ def _suggest(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iter
         column = {c: group.column(c).to_numpy() for c in ("node", "label", "size", "part")}
         node, label, size, part = column.values()
         band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
-        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        rough = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)[:, :band]
+        _, place, counts = np.unique(label, return_inverse=True, return_counts=True)
+        outside = place != counts.argmax() if best and counts.max() > 1 else np.ones(len(node), bool)
         found_a, found_b = [], []
-        for x in range(len(node)):
+        for x in np.flatnonzero(outside):
             other = (label != label[x]) & ((part == j if part[x] == i else part == i) if i != j else True)
             other &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
             if not best:
@@ -205,7 +211,7 @@ def _suggest(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iter
             y = y[~(bands[y] == bands[x]).any(axis=1)]
             if not len(y):
                 continue
-            alike = (sketches[y] == sketches[x]).mean(axis=1)
+            alike = (rough[y] == rough[x]).mean(axis=1)
             near = np.flatnonzero(alike >= percent / 100 - MARGIN)
             if best:
                 near = near[np.argsort(-alike[near], kind="stable")[:best]]
@@ -218,7 +224,7 @@ def _suggest(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iter
             )
 
 
-def _suggested(members: DataFrame, labels: DataFrame, signed: DataFrame, percent: int, best: int) -> DataFrame:
+def _suggested(members: DataFrame, labels: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, best: int) -> DataFrame:
     """``a, b``: pairs to confirm, from the buckets that hold several components."""
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = (
@@ -235,7 +241,8 @@ def _suggested(members: DataFrame, labels: DataFrame, signed: DataFrame, percent
         labelled.join(mixed, "bucket")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("task", F.explode(tasks))
-        .join(signed.select(F.col("row").alias("node"), "bands", "sketch"), "node")
+        .join(signed.select(F.col("row").alias("node"), "bands"), "node")
+        .join(sets.select("node", "sketch"), "node")
         .select("bucket", "task.i", "task.j", "band", "node", "label", "size", "part", "bands", "sketch")
     )
     return (
@@ -266,7 +273,7 @@ def links(signed: DataFrame, classes: DataFrame, documents: DataFrame, words: in
         _located(documents)
         .join(located, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("raw") == F.col("at_raw")))
         .select("node", "text")
-        .mapInArrow(lambda batches: _sets(batches, words), "node bigint, members binary")
+        .mapInArrow(lambda batches: _sets(batches, words), "node bigint, members binary, sketch binary")
         .dropDuplicates(["node"]),
         "minmax-sets",
     )
@@ -277,7 +284,7 @@ def links(signed: DataFrame, classes: DataFrame, documents: DataFrame, words: in
     found = staged(confirmed(stars.distinct(), sets, percent), "minmax-links")
     labels = connected(found)
     for best in (BEST, 0):
-        more = confirmed(_suggested(members, labels, signed, percent, best), sets, percent)
+        more = confirmed(_suggested(members, labels, signed, sets, percent, best), sets, percent)
         found = found.unionByName(staged(more, "minmax-links"))
         labels = connected(found)
     return labels
@@ -298,8 +305,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     )
     firsts = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     found = labelled.join(firsts, "label").select("low", "high", "n_shingles", "component_id")
-    linked = signed.drop("bands", "sketch").where("n_shingles > 0").join(found, ["low", "high", "n_shingles"])
-    alone = signed.drop("bands", "sketch").where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    linked = signed.drop("bands").where("n_shingles > 0").join(found, ["low", "high", "n_shingles"])
+    alone = signed.drop("bands").where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone).select(
         "row",
         "doc_id",
