@@ -7,7 +7,8 @@ exponentially by document size: ``rate / (most - rate) = exp(multiplier * size /
 The multipliers come from distributed Newton iterations, safeguarded by bisection, over the table of
 distinct sizes of each source (the rates depend on nothing else). Rates become whole copies by
 error diffusion down the sizes, which leaves each source off its target by about half of its largest
-document at most; one further document of a fitting size then takes up most of what is left.
+document at most; one further document of a fitting size takes up most of what is left. Large documents
+(over a hundredth of the target) are settled first, and the others balanced anew around them.
 
 Only DataFrame operations. No group is gathered: sums run over sizes in two levels, documents of one
 size are ranked in hashed slices.
@@ -192,6 +193,33 @@ def _plan(histogram: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     )
 
 
+def _two_plans(histogram: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """The plan of ``_plan``; with the copies of large documents (over a hundredth of the target) settled,
+    the rates of the others are balanced anew for the words that are left."""
+    columns = ["source", "size", "n", "source_size", "target", "copies"]
+    large = staged(_plan(histogram, targets, most).where(F.col("size") * 100 > F.col("target")), "mixing-large")
+    others = histogram.join(large.select("source", "size"), ["source", "size"], "left_anti")
+    others = staged(others, "mixing-others")
+    settled = large.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("settled"))
+    sizes = others.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    left = staged(
+        targets.drop("source_size")
+        .join(sizes, "source")
+        .join(settled, "source", "left")
+        .select(
+            "source",
+            "source_size",
+            F.greatest(
+                F.lit(0.0),
+                F.least(F.col("target") - F.coalesce("settled", F.lit(0)), (most * F.col("source_size")).cast("double")),
+            ).alias("target"),
+        ),
+        "mixing-left",
+    )
+    rest = _plan(others, left, most).drop("source_size", "target").join(targets, "source")
+    return large.select(columns).unionByName(rest.select(columns))
+
+
 def rates(documents: DataFrame, most: int = 3) -> DataFrame:
     """``row, doc_id, size, source_size, target, copies`` of every document.
 
@@ -203,7 +231,7 @@ def rates(documents: DataFrame, most: int = 3) -> DataFrame:
     histogram = staged(sliced.groupBy("source", "size").agg(F.sum("n").alias("n")), "mixing-sizes")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = staged(source_targets(sizes, most), "mixing-targets")
-    plan = _plan(histogram, targets, most)
+    plan = _two_plans(histogram, targets, most)
     # Copies of a size class over its slices: what the running count of documents entitles a slice to.
     upto = Window.partitionBy("source", "size").orderBy("slice")
     shares = (

@@ -28,6 +28,7 @@ from sentencepiece import SentencePieceProcessor
 BLANK = "▁"
 NO_PIECE = -1
 CACHED_WORDS = 200_000
+ROWS_AT_ONCE = 256
 
 
 class PieceTable:
@@ -205,6 +206,14 @@ class PieceTable:
         text = b"".join([self.bytes_of[i] for i in ids])
         return text[text[:1] == b" " :].decode("utf-8", "replace")
 
+    def pieces(self, text: str) -> tuple[np.ndarray, str]:
+        """All ids, the end id included, and the text they decode to; recent words are looked up."""
+        known, unknown = self.words.get, self.word
+        entries = [known(w) or unknown(w) for w in self.split(text)] if text else []
+        ids = b" ".join([*[e[1] for e in entries], b"%d" % self.end_id])
+        decoded = b"".join([e[2] for e in entries])
+        return np.array(ids.split(), np.int32), decoded[decoded[:1] == b" " :].decode("utf-8", "replace")
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, hash of the ids in decimal, hash of the decoded text."""
         known, unknown = self.words.get, self.word
@@ -234,13 +243,14 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path)
-        for batch in batches:
-            ids = [table.encode(text or "") for text in batch.column("text").to_pylist()]
-            decoded = [table.decode(i) for i in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                names=[*batch.schema.names, "ids", "decoded"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                rows = [table.pieces(text or "") for text in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows])],
+                    names=[*batch.schema.names, "ids", "decoded"],
+                )
 
     schema = documents.select("*", F.lit(None).cast("array<int>").alias("ids"), F.lit("").alias("decoded")).schema
     return documents.mapInArrow(run, schema)
