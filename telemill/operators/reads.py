@@ -121,7 +121,7 @@ def page_numbers(events: DataFrame, page_size: int) -> DataFrame:
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     # One row per slice: a few thousand at most.
-    numbered = placed.withColumn("_slice", F.shiftright("_id", 33)).join(F.broadcast(offsets), "_slice")
+    numbered = placed.withColumn("_slice", F.shiftright("_id", 33)).join(offsets, "_slice")
     position = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.select(
         "event_id",
