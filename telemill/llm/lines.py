@@ -232,22 +232,25 @@ def dropped(documents: DataFrame, min_chars: int = 40, min_rows: int = 5) -> Dat
     gone = (
         doomed_lines(documents, min_chars, min_rows)
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("position").alias("__gone"))
-        .withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+        .agg(F.collect_set("position").alias("gone"))
     )
     columns = documents.columns
-    lines = split_lines(F.col("text"))
-    joined = documents.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left"
+    whole = documents.select(
+        F.struct("*").alias("document"), F.xxhash64("text").alias("hash"), split_lines(F.col("text")).alias("lines")
     )
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda k: F.get(F.col("__lines"), k)), "\n")
+    joined = whole.join(
+        gone,
+        F.col("document.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")),
+        "left",
     )
-    return joined.withColumn("__lines", lines).select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns],
-        F.size("__lines").cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("document.text")).otherwise(
+        F.array_join(F.transform(left, lambda k: F.get(F.col("lines"), k)), "\n")
+    )
+    return joined.select(
+        *[text.alias("text") if c == "text" else F.col("document").getField(c).alias(c) for c in columns],
+        F.size("lines").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
 
 

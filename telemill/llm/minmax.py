@@ -319,10 +319,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
 def dedup(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are kept, with their columns."""
-    kept = near_duplicates(documents, words, percent).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")
-    ).distinct()
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    return documents.join(
-        kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__raw")), "left_semi"
-    ).select(columns)
+    kept = near_duplicates(documents, words, percent).where("kept").select("doc_id", "raw").distinct()
+    whole = documents.select(F.struct("*").alias("document"), F.xxhash64("text").alias("hash"))
+    return whole.join(
+        kept,
+        F.col("document.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("raw")),
+        "left_semi",
+    ).select("document.*")

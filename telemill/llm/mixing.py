@@ -292,20 +292,19 @@ def mix(documents: DataFrame, most: int = 3) -> DataFrame:
 
 def mixed(documents: DataFrame, most: int = 3) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; same columns."""
-    columns = documents.columns
     kept = staged(
-        documents.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in columns]),
+        documents.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("document")),
         "mixing-documents",
     )
     rows = kept.select(
-        F.col("__row").alias("row"),
-        "doc_id",
-        source_key(F.col("source")).alias("source"),
-        word_count(F.col("text")).alias("size"),
+        "row",
+        F.col("document.doc_id").alias("doc_id"),
+        source_key(F.col("document.source")).alias("source"),
+        word_count(F.col("document.text")).alias("size"),
     )
     copies = rates(staged(rows, "mixing-rows"), most).select("row", "copies").where("copies > 0")
     return (
-        kept.join(copies, F.col("__row") == copies["row"])
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-        .select(*[F.col(f"`{c}`") for c in columns])
+        kept.join(copies, "row")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+        .select("document.*")
     )

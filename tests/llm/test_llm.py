@@ -160,6 +160,9 @@ def test_minmax(rows, documents, odd_ids, empty, width):
     if width == 2:
         assert minmax.near_duplicates(odd_ids, width).count() == odd_ids.count()
         assert minmax.near_duplicates(empty, width).count() == 0
+        kept = minmax.dedup(documents, width)
+        assert kept.columns == documents.columns
+        assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
 def test_vectors(spark):
