@@ -74,6 +74,10 @@ WHITESPACE = (
 
 # Formats.
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
+# Spellings a stored id may have: plain, without dashes, in braces, as a URN.
+READABLE_UUID_PATTERN = (
+    r"^(?:(?i:urn:uuid:)?H{8}-H{4}-H{4}-H{4}-H{12}|\{H{8}-H{4}-H{4}-H{4}-H{12}\}|H{32})\z".replace("H", "[0-9a-fA-F]")
+)
 ZERO_UUID = "00000000-0000-0000-0000-000000000000"
 RFC3339_PATTERN = (
     r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)\z"

@@ -17,6 +17,9 @@ def uuid_text(*parts: Column) -> Column:
     )
 
 
-def event_id() -> Column:
-    """Key of the record at (topic, partition, offset)."""
-    return uuid_text(F.col("topic"), F.col("partition"), F.col("offset"))
+def event_id(*more: Column) -> Column:
+    """Key of the record at (topic, partition, offset).
+
+    ``more`` widens the position of records that come from no topic; a NULL part changes nothing.
+    """
+    return uuid_text(F.col("topic"), F.col("partition"), F.col("offset"), *more)

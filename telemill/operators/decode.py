@@ -26,7 +26,8 @@ def decode(messages: DataFrame) -> DataFrame:
     """Kafka-shaped records to decoded messages, one row each, nothing dropped.
 
     Added columns: ``device_id``, ``type``, ``message_time`` (text as sent), ``occurred_at``,
-    ``metrics`` (JSON text, NULL when absent or null), ``is_malformed``.
+    ``metrics`` (JSON text, NULL when absent or null), ``is_malformed``. ``record_key`` is the wide part
+    of the position of replayed records, NULL for those of a topic.
     """
     source = messages.select(
         "topic",
@@ -34,6 +35,7 @@ def decode(messages: DataFrame) -> DataFrame:
         "offset",
         utc(F.col("timestamp")).alias("arrived_at"),
         F.col("value").cast("string").alias("raw_value"),
+        (F.col("record_key") if "record_key" in messages.columns else F.lit(None).cast("string")).alias("record_key"),
         *(["headers"] if "headers" in messages.columns else []),
     )
     # Wrapping as an array element catches what a plain parse lets through: text after the value,

@@ -16,11 +16,13 @@ def evaluate_once(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame.select(*kept, F.inline(F.array(F.struct(*columns))))
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Use every core on an input of fewer splits than cores, such as one small file.
+def copies(counted: DataFrame, count: str, per_step: int = 100_000) -> DataFrame:
+    """Every row as often as its ``count`` says, with the number of the ``copy`` from 0.
 
-    Decoding is bound by the processor, so the split count of a small input would limit it. An
-    input with enough splits is left as it is and not shuffled.
+    A large count is cut into steps that many tasks write out, so no row grows beyond ``per_step``.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+    kept = [F.col(f"`{c}`") for c in counted.columns if c != count]
+    n = F.col(count)
+    steps = counted.where(n > 0).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(per_step).cast("bigint"))))
+    last = F.least(F.col("_step") + per_step, n) - 1
+    return steps.hint("rebalance").select(*kept, F.explode(F.sequence(F.col("_step"), last)).alias("copy"))

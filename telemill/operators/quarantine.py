@@ -7,6 +7,7 @@ from telemill import fixed
 from telemill.functions.ids import uuid_text
 from telemill.functions.sql import lookup, quoted
 from telemill.functions.times import truncate_second
+from telemill.operators.plan import copies
 from telemill.operators.transform import FAILURES, TransformConfig, _by_check
 
 
@@ -46,7 +47,7 @@ def failure_error(config: TransformConfig) -> Column:
 
 
 # What is needed to rebuild and to replay a message.
-MESSAGE_COLUMNS = ("type", "device_id", "message_time", "metrics", "raw_value")
+MESSAGE_COLUMNS = ("type", "device_id", "message_time", "metrics", "raw_value", "record_key")
 
 
 def message_json() -> Column:
@@ -81,7 +82,31 @@ def failure_rows(classified: DataFrame, batch_id: str, config: TransformConfig |
 
 
 def _failure_id(batch_id: str, stage: Column) -> Column:
-    return uuid_text(F.lit(batch_id), F.col("topic"), F.col("partition"), F.col("offset"), stage).alias("id")
+    position = [F.col(c) for c in ("topic", "partition", "offset")]
+    return uuid_text(F.lit(batch_id), *position, stage, F.col("record_key")).alias("id")
+
+
+def with_unique_ids(failed: DataFrame) -> DataFrame:
+    """Give every further row of one id an id of its own.
+
+    A position that a batch holds several times fails several times. Among its rows, the first copy of
+    the text with the smallest digest keeps the id; the others add their digest and copy number. Equal
+    rows are counted, not ranked, so no task sees all copies of a hot position, and repeating the batch
+    repeats the ids.
+    """
+    content = F.md5(F.to_json(F.struct(*[c for c in failed.columns if c != "id"])))
+    marked = failed.withColumn("_content", content)
+    repeated = marked.groupBy("id").agg(F.count("*").alias("_rows"), F.min("_content").alias("_first")).where("_rows > 1")
+    counted = (
+        marked.join(repeated.drop("_rows"), "id").groupBy(*marked.columns, "_first").agg(F.count("*").alias("_n"))
+    )
+    told_apart = copies(counted, "_n").withColumn(
+        "id",
+        F.when((F.col("copy") == 0) & (F.col("_content") == F.col("_first")), F.col("id")).otherwise(
+            uuid_text(F.col("id"), F.col("_content"), F.col("copy"))
+        ),
+    )
+    return marked.join(repeated, "id", "left_anti").select(*failed.columns).unionByName(told_apart.select(*failed.columns))
 
 
 def conflict_rows(conflicts: DataFrame, batch_id: str) -> DataFrame:

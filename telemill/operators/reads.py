@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill import fixed
-from telemill.domains import DomainSpec, Registry, default_registry
+from telemill.domains import Registry, default_registry
 from telemill.functions.paging import clamp_limit, cursor_column, decode_cursor
-from telemill.functions.sql import lookup, name, quoted
+from telemill.functions.sql import quoted
+from telemill.operators.transform import decode_payload
 from telemill.scratch import enable_checkpoints
 
 
@@ -139,25 +140,30 @@ def response(events: DataFrame) -> DataFrame:
 
 
 def read_errors(events: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """Add ``read_error``: why a stored row cannot be read back, NULL when it can."""
+    """Add ``read_error``: why a stored row cannot be read back, NULL when it can.
+
+    The payload is decoded as strictly as a message's: one JSON value and nothing after it, and the
+    JSON type of every field as declared. Types that are not registered are read as unknown payloads.
+    """
     registry = registry or default_registry()
-    misfits = lookup("event_type", {s.type: _payload_mismatch(s) for s in registry}, "false")
-    return events.withColumn(
-        "read_error",
+    kinds = [quoted(s.type) for s in registry]
+    kind = f"CASE WHEN event_type IN ({', '.join(kinds)}) THEN event_type ELSE {quoted(fixed.UNKNOWN_TYPE)} END"
+    stored = events.select(
+        F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_event"),
+        F.expr(kind).alias("domain"),
+        F.col("data").alias("metrics"),
+        # As an array element the value may not be followed by anything.
+        F.expr("coalesce(size(from_json(concat('[', data, ',null]'), 'array<variant>')) = 2, false)").alias("_one"),
+    )
+    return decode_payload(stored, registry).select(
+        "_event.*",
         F.expr(
-            f"CASE WHEN try_parse_json(data) IS NULL OR {misfits} THEN 'payload cannot be decoded' "
-            f"WHEN NOT event_id RLIKE {quoted(fixed.UUID_PATTERN)} THEN 'invalid event UUID' END"
-        ),
+            "CASE WHEN NOT _one OR is_misfit THEN 'payload cannot be decoded' "
+            f"WHEN NOT coalesce(_event.event_id RLIKE {quoted(fixed.READABLE_UUID_PATTERN)}, false) THEN 'invalid event UUID' END"
+        ).alias("read_error"),
     )
 
 
-def _payload_mismatch(spec: DomainSpec) -> str:
-    """Whether the stored JSON is of another type than the payload asks for."""
-    ddl = ", ".join(f"{name(f.name)} {f.dataType.simpleString()}" for f in spec.schema) + ", _corrupt string"
-    options = "map('columnNameOfCorruptRecord', '_corrupt')"
-    return f"from_json(data, {quoted(ddl)}, {options})._corrupt IS NOT NULL"
-
-
 def require_readable(events: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Pass readable rows on and fail the query at the first unreadable one."""
     checked = read_errors(events, registry)

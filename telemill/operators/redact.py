@@ -31,9 +31,17 @@ def finance_view(payload: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """Shortest decimal text of a double, without an exponent and without a trailing ``.0``."""
-    digits = c.cast("string").cast("decimal(38,12)").cast("string")
-    return F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
+    """Shortest decimal text of a double of any size, without an exponent and without a trailing ``.0``."""
+    text = c.cast("string")
+    bare = F.ltrim(text, F.lit("-"))
+    digits = F.replace(F.split_part(bare, F.lit("E"), F.lit(1)), F.lit("."), F.lit(""))
+    whole = F.split_part(bare, F.lit("E"), F.lit(2)).try_cast("int") + 1
+    padded = F.concat(digits, F.repeat(F.lit("0"), whole - F.length(digits)))
+    large = F.concat(F.substring(padded, F.lit(1), whole), F.lit("."), F.substring(padded, whole + 1, F.length(padded)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits)
+    plain = F.when(whole.isNull(), bare).when(whole > 0, large).otherwise(small)
+    short = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0*$", "")).otherwise(plain)
+    return F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), short)
 
 
 def redact(
@@ -62,9 +70,11 @@ def _value(c: Column, kind: T.DataType, hidden: frozenset[str], cap: int) -> Col
     if isinstance(kind, T.StructType):
         fields = [_field(c[f.name], f.name, f.dataType, hidden, cap).alias(f.name) for f in kind]
         return F.when(c.isNotNull(), F.struct(*fields))
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType | T.StringType | T.MapType):
+    if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda e: _value(e, kind.elementType, hidden, cap))
-    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+    if isinstance(kind, T.MapType) and not isinstance(kind.keyType, T.StringType):
+        return F.transform_values(c, lambda k, v: _value(v, kind.valueType, hidden, cap))
+    if isinstance(kind, T.MapType):
         return F.transform_values(c, lambda k, v: F.when(k.isin(*hidden), F.lit(fixed.REDACTED)).otherwise(_text(v, kind.valueType, hidden, cap)))
     return c
 

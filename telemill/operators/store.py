@@ -1,21 +1,25 @@
 """Event and quarantine tables: key check, append, delete."""
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill import schemas
-from telemill.functions.times import utc
+from telemill.operators.plan import copies
 
-# Among copies of a key the earliest position wins; the rest of the list only breaks ties between
-# copies that differ, so that every plan picks the same one.
+# Among copies of a key the earliest position wins. All other columns follow in the order, so that
+# only copies that are equal in every column tie.
 _COPY_ORDER = ["topic", "partition", "offset", "ingested_at", "occurred_at", "event_type", "entity_id", "data"]
 
+# The folder of rows without a day.
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
 # A Bloom filter on the key, sized by the keys a file really has.
 _LOOKUP_FILTER = {
     "parquet.bloom.filter.enabled#event_id": "true",
@@ -43,11 +47,26 @@ class Tables:
             spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*partitions).parquet(path)
         return self
 
-    def events(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(schemas.EVENTS).parquet(self.events_path)
+    def events(self, spark: SparkSession, days: Sequence[date] | None = None) -> DataFrame:
+        """The event table, or its part of some arrival days; only their folders are listed then."""
+        return _read(spark, self.events_path, schemas.EVENTS, "ingest_date", days)
+
+    def failed(self, spark: SparkSession, days: Sequence[date] | None = None) -> DataFrame:
+        return _read(spark, self.failed_path, schemas.FAILED_MESSAGES, "created_date", days)
+
+
+def _read(spark: SparkSession, root: str, schema: T.StructType, key: str, days: Sequence[date] | None) -> DataFrame:
+    reader = spark.read.schema(schema)
+    if days is None:
+        return reader.parquet(root)
+    folders = [f"{root}/{key}={day or _NO_DAY}" for day in days]
+    found = [f for f in folders if _exists(spark, f)]
+    return reader.option("basePath", root).parquet(*found) if found else spark.createDataFrame([], schema)
 
-    def failed(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(schemas.FAILED_MESSAGES).parquet(self.failed_path)
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
 
 
 def create_catalog_tables(spark: SparkSession, database: str, tables: Tables) -> None:
@@ -65,63 +84,65 @@ def create_catalog_tables(spark: SparkSession, database: str, tables: Tables) ->
         )
 
 
+def _order(batch: DataFrame) -> list[str]:
+    return [c for c in _COPY_ORDER if c in batch.columns] + sorted({*batch.columns} - {*_COPY_ORDER})
+
+
 def first_copies(batch: DataFrame) -> DataFrame:
     """One row per event_id, the earliest.
 
     Spark keeps the first row per key already before the shuffle, so a key that holds a large part
     of the batch sends one row per task, not all its copies.
     """
-    earliest = Window.partitionBy("event_id").orderBy(*_COPY_ORDER)
+    earliest = Window.partitionBy("event_id").orderBy(*_order(batch))
     return batch.withColumn("_copy", F.row_number().over(earliest)).where("_copy = 1").drop("_copy")
 
 
 def later_copies(batch: DataFrame) -> DataFrame:
     """Every row that ``first_copies`` leaves out.
 
-    Keys that occur once are dismissed by a pre-aggregated count. Copies of one key are ranked per
-    input slice, then only the slices' heads among each other, so no task sees a whole hot key.
+    Equal copies are counted before the shuffle and written out again, one less of the winner's: no
+    task sees all copies of a hot key, and nothing depends on how the rows are dealt out.
     """
-    repeated = batch.groupBy("event_id").count().where("count > 1").select("event_id")
-    copies = batch.withColumn("_slice", F.spark_partition_id()).join(repeated, "event_id", "left_semi")
-    in_slice = Window.partitionBy("event_id", "_slice").orderBy(*_COPY_ORDER)
-    ranked = copies.withColumn("_copy", F.row_number().over(in_slice))
-    heads = ranked.where("_copy = 1")
-    among_heads = Window.partitionBy("event_id").orderBy(*_COPY_ORDER, "_slice")
-    losing_heads = heads.withColumn("_copy", F.row_number().over(among_heads)).where("_copy > 1")
-    return ranked.where("_copy > 1").unionByName(losing_heads).drop("_slice", "_copy")
+    counted = batch.groupBy(*batch.columns).agg(F.count("*").alias("_n"))
+    winners = first_copies(batch).select(*[F.col(f"`{c}`").alias(f"_first_{c}") for c in batch.columns], F.lit(1).alias("_wins"))
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_first_{c}`")) for c in batch.columns])
+    lost = counted.join(winners, same, "left").select(
+        *[F.col(f"`{c}`") for c in batch.columns], (F.col("_n") - F.coalesce("_wins", F.lit(0))).alias("_n")
+    )
+    return copies(lost, "_n").drop("copy")
 
 
-def known_keys(events: DataFrame, first_day: date, last_day: date) -> DataFrame:
-    """Stored keys with the batch that stored them, from the partitions a batch can touch.
+def known_keys(events: DataFrame) -> DataFrame:
+    """Stored keys with the batch that stored them.
 
-    The day range comes from the records' arrival times, and so does ``ingest_date``: a record that
-    comes again lands in the same day, and history outside the range need not be read.
+    Give it the part of the table a batch can touch (``Tables.events(spark, days)``): ``ingest_date``
+    comes from the record's arrival time, which belongs to its position, so a record that comes again
+    lands in the same day, and the rest of the history need not be listed or read.
     """
-    in_range = F.col("ingest_date").between(F.lit(first_day), F.lit(last_day))
-    return events.where(in_range).select("event_id", F.col("batch_id").alias("_stored_by"))
-
+    return events.select("event_id", F.col("batch_id").alias("_stored_by"))
 
-def day_range(messages: DataFrame) -> tuple[date, date] | None:
-    """First and last arrival day of a batch of records; None when it is empty.
 
-    Only the arrival times are read: nothing is decoded for it.
-    """
-    low, high = messages.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).select(
-        F.to_date(utc(F.col("low"))), F.to_date(utc(F.col("high")))
-    ).first()
-    return None if low is None else (low, high)
+def arrival_days(records: DataFrame, column: str) -> list[date | None]:
+    """The distinct arrival days of a batch, None among them; the calendar bounds them."""
+    return sorted((row[0] for row in records.select(F.to_date(column)).distinct().collect()), key=str)
 
 
 def check_keys(batch: DataFrame, known: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
     """Split a batch into rows to append and rows that violate the primary key.
 
-    A key stored by this very batch means the batch is being repeated after a crash: such a row is
-    in neither part.
+    Keys alone tell which ones need a verdict: those that occur twice or are stored. All other rows
+    pass without being shuffled; only the exceptions are compared. A key stored by this very batch
+    means the batch is being repeated after a crash: such a row is in neither part.
     """
-    matched = first_copies(batch).join(known, "event_id", "left")
-    accepted = matched.where(F.col("_stored_by").isNull()).drop("_stored_by")
-    taken = matched.where(F.col("_stored_by") != batch_id).drop("_stored_by")
-    return accepted, taken.unionByName(later_copies(batch))
+    counted = batch.groupBy("event_id").agg(F.count("*").alias("_rows"))
+    odd = counted.join(known, "event_id", "left").where("_rows > 1 OR _stored_by IS NOT NULL").drop("_rows")
+    plain = batch.join(odd, "event_id", "left_anti")
+    doubtful = batch.join(odd.select("event_id"), "event_id", "left_semi")
+    judged = first_copies(doubtful).join(odd, "event_id")
+    fresh = judged.where(F.col("_stored_by").isNull()).drop("_stored_by")
+    taken = judged.where(F.col("_stored_by") != batch_id).drop("_stored_by")
+    return plain.unionByName(fresh), taken.unionByName(later_copies(doubtful))
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -147,14 +168,13 @@ def _write_events(events: DataFrame, path: str, mode: str) -> None:
     )
 
 
-def append_failures(failed: DataFrame, path: str, days: tuple[date, date]) -> None:
-    """Append quarantine rows of the given days, leaving out those a repeated batch has written before."""
-    stored = (
-        failed.sparkSession.read.schema(schemas.FAILED_MESSAGES)
-        .parquet(path)
-        .where(F.col("created_date").between(*map(F.lit, days)))
-        .select("id")
-    )
+def append_failures(failed: DataFrame, path: str, days: Sequence[date] | None = None) -> None:
+    """Append quarantine rows, leaving out those a repeated batch has written before.
+
+    ``days`` are the rows' days; they are gathered from the rows when not given.
+    """
+    days = arrival_days(failed, "created_date") if days is None else days
+    stored = _read(failed.sparkSession, path, schemas.FAILED_MESSAGES, "created_date", days).select("id")
     (
         failed.join(stored, "id", "left_anti")
         .select(*schemas.FAILED_MESSAGES.fieldNames())

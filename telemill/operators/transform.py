@@ -175,7 +175,7 @@ def to_events(
     gives the same event and lands in the same ``ingest_date``."""
     config = config or TransformConfig()
     return classified.where(F.col("failed_check").isNull()).select(
-        event_id().alias("event_id"),
+        event_id(F.col("record_key")).alias("event_id"),
         "domain",
         F.col("type").alias("event_type"),
         F.col("device_id").alias("entity_id"),

@@ -24,8 +24,8 @@ from telemill.operators import backlog, checks, quality, quarantine, reads, reda
 from telemill.operators import transform as tr
 from telemill.operators.decode import decode, header_map
 from telemill.plans import adapter
-from telemill.sources import message_stream_files, replay_lines
-from telemill.streaming import IngestJob, with_fallback
+from telemill.sources import message_files, message_stream_files, replay_documents, replay_lines
+from telemill.streaming import IngestJob, table_then_dlq
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +54,7 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> store.Tables:
 
 def _ingest(spark: SparkSession, sf_dir: str) -> store.Tables:
     tables = store.Tables.under(scratch.new_folder(spark, "tables")).create(spark)
-    IngestJob(tables).run(adapter.device_messages(spark, sf_dir), "load-1")
+    IngestJob(tables).run(message_files(spark, _message_files(spark, sf_dir)), "load-1")
     return tables
 
 
@@ -70,12 +70,17 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.classify(decode(adapter.device_messages(spark, sf_dir)))
 
 
+# Files of a topic's size, which readers and micro-batches can share out.
+_RECORDS_PER_FILE = 10_000
+
+
 def _message_files(spark: SparkSession, sf_dir: str) -> str:
     """The device messages as files in the shape of a topic."""
     path = scratch.new_folder(spark, "messages")
     (
         adapter.device_messages(spark, sf_dir)
         .write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        .option("maxRecordsPerFile", _RECORDS_PER_FILE)
         .json(path)
     )
     return path
@@ -143,6 +148,18 @@ def src_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified.select("device_id", "type", "occurred_at", "stage", "failed_check")
 
 
+@query("src_replay_documents")
+def src_replay_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per user, the user's last message, reloaded from a file each."""
+    path = scratch.new_folder(spark, "documents")
+    newest = adapter.event_fields(spark, sf_dir).groupBy("device_id").agg(F.max("offset").alias("offset"))
+    chosen = adapter.device_messages(spark, sf_dir).join(newest.select("offset"), "offset", "left_semi")
+    # A folder of its own keeps every text in a file of its own.
+    chosen.select("value", F.col("offset").alias("n")).write.partitionBy("n").text(path)
+    classified = tr.classify(decode(replay_documents(spark, f"{path}/n=*")))
+    return classified.select("device_id", "type", "occurred_at", "stage", "failed_check")
+
+
 @query("scan_events")
 def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_rows(_events(spark, sf_dir))
@@ -153,7 +170,7 @@ def failed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.failed_sample(_failed(spark, sf_dir))
 
 
-_second_batches: dict[tuple[str, str], tuple[str, tuple]] = {}
+_second_batches: dict[tuple[str, str], str] = {}
 
 
 def _second_delivery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -167,10 +184,11 @@ def _second_delivery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         messages = adapter.device_messages(spark, sf_dir).unionByName(orders).unionByName(orders)
         folder = scratch.new_folder(spark, "second-load")
         tr.to_events(tr.classify(decode(messages)), keep=quarantine.MESSAGE_COLUMNS).write.parquet(folder)
-        _second_batches[key] = folder, store.day_range(messages)
-    folder, days = _second_batches[key]
-    known = store.known_keys(_events(spark, sf_dir), *days)
-    return store.check_keys(spark.read.parquet(folder), known, "load-2")
+        _second_batches[key] = folder
+    batch = spark.read.parquet(_second_batches[key])
+    days = store.arrival_days(batch, "ingested_at")
+    known = store.known_keys(stored_tables(spark, sf_dir).events(spark, days))
+    return store.check_keys(batch, known, "load-2")
 
 
 @query("store_events")
@@ -223,19 +241,23 @@ def dlq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fallback_sink")
 def fallback_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures of a load whose primary failure sink is down."""
+    """Failures of two loads: the quarantine table takes the first, and is down for the second."""
     tables = store.Tables.under(scratch.new_folder(spark, "tables")).create(spark)
     secondary = scratch.new_folder(spark, "dead-letters")
 
-    def down(_: DataFrame) -> None:
-        raise OSError("primary failure store is down")
-
-    def dead_letters(frame: DataFrame) -> None:
-        quarantine.dlq_records(frame).write.mode("append").parquet(secondary)
+    def dead_letters(records: DataFrame) -> None:
+        records.write.mode("append").parquet(secondary)
 
-    job = IngestJob(tables, failure_sink=with_fallback(down, dead_letters))
-    job.run(adapter.device_messages(spark, sf_dir), "load-1")
-    return spark.read.schema("key string, value string").parquet(secondary).groupBy("key").agg(F.count("*").alias("n"))
+    messages = message_files(spark, _message_files(spark, sf_dir))
+    IngestJob(tables, failure_sink=table_then_dlq(tables, dead_letters)).run(messages, "load-1")
+    # No file system has this name, so the table cannot be reached.
+    gone = store.Tables(tables.events_path, "nowhere://down/failed_messages")
+    orders = adapter.order_messages(spark, sf_dir)
+    broken = orders.withColumn("value", F.substring("value", 1, 20))
+    IngestJob(tables, failure_sink=table_then_dlq(gone, dead_letters)).run(messages.unionByName(broken), "load-2")
+    stored = tables.failed(spark).groupBy("stage").agg(F.count("*").alias("n")).withColumn("sink", F.lit("table"))
+    dead = spark.read.schema("key string, value string").parquet(secondary).groupBy(F.col("key").alias("stage"))
+    return stored.unionByName(dead.agg(F.count("*").alias("n")).withColumn("sink", F.lit("dead letters")))
 
 
 @query("payload_json")
@@ -399,8 +421,15 @@ def read_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "data": F.when(slot == 0, F.substring("data", 1, 12))
             .when(slot == 1, F.regexp_replace("data", r':[^,"]+,', ':"x",'))
+            .when(slot == 3, F.regexp_replace("data", '"currency":"[^"]*"', '"currency":5'))
+            .when(slot == 4, F.concat("data", F.lit(" junk")))
             .otherwise(F.col("data")),
-            "event_id": F.when(slot == 2, "not-a-uuid").otherwise(F.col("event_id")),
+            # Unregistered types are read as unknown payloads, whose data is an object.
+            "event_type": F.when(slot == 6, "wind_sensor").otherwise(F.col("event_type")),
+            "event_id": F.when(slot == 2, "not-a-uuid")
+            .when(slot == 5, F.replace("event_id", F.lit("-")))
+            .when(slot == 7, F.concat(F.lit("urn:uuid:"), "event_id"))
+            .otherwise(F.col("event_id")),
         }
     )
     return reads.read_errors(damaged).select("offset", "read_error")
@@ -617,9 +646,10 @@ def throughput_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("throughput_tier")
 def throughput_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers of eight-hour windows by stored events."""
-    series = _series(spark, sf_dir, 8 * 3600)
-    return series.select("topic", "window_start", quality.throughput_tier(F.col("processed")).alias("tier"))
+    """Tiers of one-second windows by their rate of stored events, counted."""
+    series = _series(spark, sf_dir, 1)
+    tier = quality.throughput_tier(F.col("throughput")).alias("tier")
+    return series.groupBy("topic", "throughput", tier).agg(F.count("*").alias("n"))
 
 
 @query("throughput_trend")

@@ -213,6 +213,10 @@ ORACLES: dict[str, str] = {
         "SELECT topic, domain, stage, count(*) AS n FROM (SELECT topic, domain, stage FROM cls "
         "UNION ALL SELECT topic, 'financial_stream', NULL FROM ord) GROUP BY topic, domain, stage"
     ),
+    "src_replay_documents": _sql(
+        "SELECT device_id, type, occurred_at, stage, failed_check FROM cls "
+        "QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY n DESC) = 1"
+    ),
     "src_replay": _sql("SELECT device_id, type, occurred_at, stage, failed_check FROM cls"),
     "scan_events": _sql(f"SELECT {_EVENT} FROM silver"),
     "failed_sample": _sql("SELECT stage, error FROM failed ORDER BY created_at DESC, id DESC LIMIT 5"),
@@ -248,7 +252,11 @@ ORACLES: dict[str, str] = {
         "CASE WHEN stage <> 'process' THEN r_temperature END AS temperature_c, "
         "stage <> 'process' AS has_message FROM failed"
     ),
-    "fallback_sink": _sql("SELECT stage AS key, count(*) AS n FROM failed GROUP BY stage"),
+    "fallback_sink": _sql(
+        "SELECT 'table' AS sink, stage, count(*) AS n FROM failed GROUP BY stage "
+        "UNION ALL SELECT 'dead letters', stage, count(*) FROM (SELECT stage FROM failed "
+        "UNION ALL SELECT 'store' FROM silver UNION ALL SELECT 'process' FROM ord) GROUP BY stage"
+    ),
     "payload_json": _sql(
         "SELECT event_id, domain, power_w, energy_wh, amount_minor, temperature_c, currency, merchant, status, "
         "CASE WHEN domain = 'unknown' THEN k END AS k FROM cls "
@@ -292,7 +300,9 @@ ORACLES: dict[str, str] = {
     ),
     "read_integrity": _sql(
         "SELECT \"offset\", CASE \"offset\" % 8 WHEN 0 THEN 'payload cannot be decoded' "
-        "WHEN 1 THEN 'payload cannot be decoded' WHEN 2 THEN 'invalid event UUID' END AS read_error FROM silver"
+        "WHEN 1 THEN 'payload cannot be decoded' WHEN 2 THEN 'invalid event UUID' "
+        "WHEN 3 THEN CASE WHEN domain = 'financial_stream' THEN 'payload cannot be decoded' END "
+        "WHEN 4 THEN 'payload cannot be decoded' END AS read_error FROM silver"
     ),
     # projections
     "decode_envelope": _sql(
@@ -400,9 +410,9 @@ ORACLES: dict[str, str] = {
     ),
     "throughput_by_window": _sql("SELECT * FROM series", _series()),
     "throughput_tier": _sql(
-        "SELECT topic, window_start, CASE WHEN processed >= 100 THEN 'Excellent' WHEN processed >= 50 THEN 'Good' "
-        "WHEN processed >= 25 THEN 'Moderate' ELSE 'Poor' END AS tier FROM series",
-        _series(8 * 3600),
+        "SELECT topic, throughput, CASE WHEN throughput >= 100 THEN 'Excellent' WHEN throughput >= 50 THEN 'Good' "
+        "WHEN throughput >= 25 THEN 'Moderate' ELSE 'Poor' END AS tier, count(*) AS n FROM series GROUP BY ALL",
+        _series(1),
     ),
     "throughput_trend": _sql("SELECT * FROM series ORDER BY window_start DESC, topic LIMIT 10", _series()),
     "backlog_stats": _sql("SELECT * FROM stats", _BACKLOG, _STATS),

@@ -8,8 +8,13 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
+from functools import partial
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
+from pyspark.errors import (
+    AnalysisException, ParseException, PySparkAttributeError, PySparkException, PySparkTypeError, PySparkValueError,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,26 +32,45 @@ class FailureSinksUnavailable(RuntimeError):
     """Neither failure sink took the failed messages."""
 
 
+#: What a store that is down raises, here or in a job; and those among them that a wrong plan raises.
+STORE_ERRORS = (OSError, Py4JError, PySparkException)
+OWN_ERRORS = (AnalysisException, ParseException, PySparkTypeError, PySparkValueError, PySparkAttributeError)
+
+
 def with_fallback(primary: Sink, secondary: Sink) -> Sink:
     """A sink that uses ``secondary`` only when ``primary`` fails.
 
     When both fail the error is raised: the query stops, its checkpoint does not advance, and the
-    restart repeats the batch instead of losing the messages.
+    restart repeats the batch instead of losing the messages. Only failures of a store or of a running
+    job count; an error of our own, such as a plan that cannot be resolved, is raised as it is.
     """
 
     def write(frame: DataFrame) -> None:
         try:
             primary(frame)
-        except Exception as first:
+        except STORE_ERRORS as first:
+            if isinstance(first, OWN_ERRORS):
+                raise
             log.warning("primary failure sink failed, using the secondary: %s", first)
             try:
                 secondary(frame)
-            except Exception as second:
+            except STORE_ERRORS as second:
                 raise FailureSinksUnavailable("all failure backends unavailable") from second
 
     return write
 
 
+def table_then_dlq(tables: store.Tables, dead_letters: Sink) -> Sink:
+    """The quarantine table as failure sink, and dead-letter records when it does not take the rows.
+
+    ``dead_letters`` takes ``key`` and ``value``, e.g. ``partial(write_dlq, config=kafka)``.
+    """
+    return with_fallback(
+        partial(store.append_failures, path=tables.failed_path),
+        lambda failed: dead_letters(quarantine.dlq_records(failed)),
+    )
+
+
 def outcome_counts(classified: DataFrame) -> DataFrame:
     """Messages by stage they failed in (NULL: none), domain and type."""
     return classified.groupBy("stage", "domain", F.col("type").alias("event_type")).agg(F.count("*").alias("n"))
@@ -69,37 +93,39 @@ class IngestJob:
 
     def run(self, messages: DataFrame, batch_id: str) -> None:
         """Ingest a bounded set of messages. Repeating a batch id adds nothing."""
-        days = store.day_range(messages)
-        if days is None:
-            return
         judged = compact(classify(self.decode(messages), self.config), self.config.registry)
         if self.staging is not None:
             folder = f"{self.staging.rstrip('/')}/{batch_id}"
             judged.write.mode("overwrite").parquet(folder)
-            self._write(judged.sparkSession.read.schema(judged.schema).parquet(folder), batch_id, days)
+            self._write(judged.sparkSession.read.schema(judged.schema).parquet(folder), batch_id)
             return
         judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._write(judged, batch_id, days)
+            self._write(judged, batch_id)
         finally:
             judged.unpersist()
 
-    def _write(self, judged: DataFrame, batch_id: str, days: tuple[date, date]) -> None:
+    def _write(self, judged: DataFrame, batch_id: str) -> None:
+        days = store.arrival_days(judged, "arrived_at")
+        if not days:
+            return
         self._store(judged, batch_id, days)
         if self.on_counts is not None:
             self.on_counts(batch_id, outcome_counts(judged))
 
-    def _store(self, judged: DataFrame, batch_id: str, days: tuple[date, date]) -> None:
+    def _store(self, judged: DataFrame, batch_id: str, days: list[date | None]) -> None:
         events = to_events(judged, self.config, keep=quarantine.MESSAGE_COLUMNS)
-        known = store.known_keys(self.tables.events(judged.sparkSession), *days)
+        known = store.known_keys(self.tables.events(judged.sparkSession, days))
         accepted, conflicts = store.check_keys(events, known, batch_id)
         accepted = accepted.withColumn("batch_id", F.lit(batch_id))
         if self.event_sink is not None:
             self.event_sink(accepted)
         else:
             store.append_events(accepted, self.tables.events_path)
-        failed = quarantine.failure_rows(judged, batch_id, self.config).unionByName(
-            quarantine.conflict_rows(conflicts, batch_id)
+        failed = quarantine.with_unique_ids(
+            quarantine.failure_rows(judged, batch_id, self.config).unionByName(
+                quarantine.conflict_rows(conflicts, batch_id)
+            )
         )
         if self.failure_sink is not None:
             self.failure_sink(failed)

@@ -96,6 +96,40 @@ def test_hot_key_copies_are_split_exactly(spark):
     assert both.exceptAll(rows.groupBy("event_id", "data").count()).isEmpty()
 
 
+def test_every_failure_of_one_position_has_its_own_id(spark, tables):
+    good, bad = records(spark, [energy()]), records(spark, ["junk"], start=5)
+    other = records(spark, ["other junk"], start=5)
+    batch = good.union(good).union(good).union(bad).union(bad).union(other)
+    for _ in range(2):
+        IngestJob(tables).run(batch, "b1")
+        failed = tables.failed(spark).collect()
+        assert sorted(r["stage"] for r in failed) == ["process"] * 3 + ["store"] * 2
+        assert len({r["id"] for r in failed}) == 5
+    IngestJob(tables).run(good.union(good).union(good), "b2")
+    failed = tables.failed(spark).where("stage = 'store'").collect()
+    assert len(failed) == len({r["id"] for r in failed}) == 5
+
+
+def test_differing_copies_keep_the_earliest_and_lose_none(spark, tables):
+    copies = [energy(power=float(i % 5 + 1)) for i in range(40)]
+    frame = records(spark, copies).withColumn("offset", F.lit(3).cast("bigint")).repartition(7)
+    IngestJob(tables).run(frame, "b1")
+    stored = tables.events(spark).collect()
+    refused = [r["raw_value"] for r in tables.failed(spark).collect()]
+    assert len(stored) == 1 and len(refused) == 39
+    assert sorted([*refused, energy(power=1.0)]) == sorted(copies)
+
+
+def test_a_batch_lists_and_reads_only_its_days(spark, tables):
+    IngestJob(tables).run(spread_over_days(spark, [energy()] * 9, days=3), "b1")
+    days = store.arrival_days(records(spark, [energy()]), "timestamp")
+    assert [d.isoformat() for d in days] == ["2024-01-05"]
+    part = tables.events(spark, days)
+    assert all("ingest_date=2024-01-05" in f for f in part.inputFiles())
+    assert part.columns == tables.events(spark).columns and part.count() == 3
+    assert tables.events(spark, [datetime(1999, 1, 1).date()]).isEmpty()
+
+
 def walk(events, size):
     found, cursor = [], None
     while True:
@@ -152,6 +186,27 @@ def test_unreadable_rows_are_named_and_can_fail_the_query(spark, tables):
         reads.require_readable(broken).collect()
 
 
+def test_read_back_is_strict(spark, tables):
+    IngestJob(tables).run(records(spark, [energy(), finance()]), "b1")
+    events = tables.events(spark).where("domain = 'financial_stream'")
+    text = F.col("data")
+    cases = [
+        ("data", text, None),
+        ("data", F.concat(text, F.lit(" junk")), "payload cannot be decoded"),
+        ("data", F.concat(text, F.lit(","), text), "payload cannot be decoded"),
+        ("data", F.regexp_replace(text, '"currency":"[^"]*"', '"currency":5'), "payload cannot be decoded"),
+        ("event_type", F.lit("other"), None),
+        ("event_id", F.replace("event_id", F.lit("-")), None),
+        ("event_id", F.concat(F.lit("urn:uuid:"), "event_id"), None),
+        ("event_id", F.concat(F.lit("{"), "event_id", F.lit("}")), None),
+        ("event_id", F.concat("event_id", F.lit("0")), "invalid event UUID"),
+    ]
+    for column, value, expected in cases:
+        assert reads.read_errors(events.withColumn(column, value)).first()["read_error"] == expected
+    unknown = events.withColumns({"event_type": F.lit("other"), "data": F.lit('{"data": 5}')})
+    assert reads.read_errors(unknown).first()["read_error"] == "payload cannot be decoded"
+
+
 def test_catalog_tables_enforce_the_declared_columns(spark, tables):
     spark.sql("CREATE DATABASE IF NOT EXISTS telemill_test")
     for _ in range(2):

@@ -1,7 +1,10 @@
 """Streams give the tables that a batch gives, and stop rather than lose messages."""
 
+import os
+
 import pytest
 from helpers import climate, energy, finance, message, records
+from pyspark.errors import AnalysisException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -71,6 +74,11 @@ def test_secondary_sink_is_used_only_when_the_primary_fails(spark):
 
         return write
 
+    def wrong_plan(frame):
+        spark.range(1).select("no such column").collect()
+
+    with pytest.raises(AnalysisException):
+        with_fallback(wrong_plan, sink("never"))(None)
     with_fallback(sink("a"), sink("b"))(None)
     with_fallback(sink("c", fails=True), sink("d"))(None)
     assert used == ["a", "c", "d"]
@@ -108,6 +116,23 @@ def test_replayed_files(spark, tmp_path):
     assert (tables.events(spark).count(), tables.failed(spark).count()) == (2, 1)
 
 
+def test_replay_of_touched_files_and_equal_lines_in_two_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.json").write_text(energy() + "\n" + "   \n\n" + finance() + "\n")
+    for read, events, failed in ((replay_lines, 4, 4), (replay_documents, 0, 2)):
+        tables = Tables.under(str(tmp_path / read.__name__)).create(spark)
+        for batch, day in (("b1", 1_700_000_000), ("b2", 1_710_000_000)):
+            for folder in ("a", "b"):
+                os.utime(tmp_path / folder / "same.json", (day, day))
+            IngestJob(tables).run(read(spark, [str(tmp_path / f) for f in ("a", "b")]), batch)
+            assert tables.events(spark).count() == events
+            assert tables.events(spark).select("event_id").distinct().count() == events
+            in_batch = tables.failed(spark).where(F.col("batch_id") == batch).groupBy("stage").count().collect()
+            again = {"store": events} if batch == "b2" and events else {}
+            assert {r["stage"]: r["count"] for r in in_batch} == {"process": failed, **again}
+
+
 def test_replayed_lines_keep_equal_lines(spark, tmp_path, monkeypatch):
     from telemill.sources import files
 
