@@ -4,7 +4,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,13 +104,12 @@ def later_copies(batch: DataFrame) -> DataFrame:
     Equal copies are counted before the shuffle and written out again, one less of the winner's: no
     task sees all copies of a hot key, and nothing depends on how the rows are dealt out.
     """
-    counted = batch.groupBy(*batch.columns).agg(F.count("*").alias("_n"))
-    winners = first_copies(batch).select(*[F.col(f"`{c}`").alias(f"_first_{c}") for c in batch.columns], F.lit(1).alias("_wins"))
-    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_first_{c}`")) for c in batch.columns])
-    lost = counted.join(winners, same, "left").select(
-        *[F.col(f"`{c}`") for c in batch.columns], (F.col("_n") - F.coalesce("_wins", F.lit(0))).alias("_n")
-    )
-    return copies(lost, "_n").drop("copy")
+    content = F.md5(F.to_json(F.struct(*_order(batch))))
+    marked = batch.withColumn("_content", content)
+    winners = first_copies(marked).select("event_id", F.col("_content").alias("_first"))
+    counted = marked.groupBy(*marked.columns).agg(F.count("*").alias("_n")).join(winners, "event_id")
+    lost = counted.withColumn("_n", F.col("_n") - (F.col("_content") == F.col("_first")).cast("int"))
+    return copies(lost, "_n").select(*batch.columns)
 
 
 def known_keys(events: DataFrame) -> DataFrame:
@@ -128,21 +127,32 @@ def arrival_days(records: DataFrame, column: str) -> list[date | None]:
     return sorted((row[0] for row in records.select(F.to_date(column)).distinct().collect()), key=str)
 
 
-def check_keys(batch: DataFrame, known: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
-    """Split a batch into rows to append and rows that violate the primary key.
+def doubtful_keys(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Keys that need a verdict: those that occur twice in the batch, and those that are stored.
 
-    Keys alone tell which ones need a verdict: those that occur twice or are stored. All other rows
-    pass without being shuffled; only the exceptions are compared. A key stored by this very batch
-    means the batch is being repeated after a crash: such a row is in neither part.
+    Only keys are shuffled for it. Keep the result when it is used more than once.
     """
     counted = batch.groupBy("event_id").agg(F.count("*").alias("_rows"))
-    odd = counted.join(known, "event_id", "left").where("_rows > 1 OR _stored_by IS NOT NULL").drop("_rows")
-    plain = batch.join(odd, "event_id", "left_anti")
-    doubtful = batch.join(odd.select("event_id"), "event_id", "left_semi")
-    judged = first_copies(doubtful).join(odd, "event_id")
+    return counted.join(known, "event_id", "left").where("_rows > 1 OR _stored_by IS NOT NULL").drop("_rows")
+
+
+def split_by_key(batch: DataFrame, doubtful: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to append and rows that violate the primary key, by the verdict on the doubtful keys.
+
+    All other rows pass as they are. A key stored by this very batch means the batch is being
+    repeated after a crash: such a row is in neither part.
+    """
+    plain = batch.join(doubtful, "event_id", "left_anti")
+    copied = batch.join(doubtful, "event_id", "left_semi")
+    judged = first_copies(copied).join(doubtful, "event_id")
     fresh = judged.where(F.col("_stored_by").isNull()).drop("_stored_by")
     taken = judged.where(F.col("_stored_by") != batch_id).drop("_stored_by")
-    return plain.unionByName(fresh), taken.unionByName(later_copies(doubtful))
+    return plain.unionByName(fresh), taken.unionByName(later_copies(copied))
+
+
+def check_keys(batch: DataFrame, known: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both steps at once, for a caller that reads the parts once."""
+    return split_by_key(batch, doubtful_keys(batch, known), batch_id)
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -6,8 +6,8 @@ The work is the same for a stream and for a backfill; only the caller differs.
 import hashlib
 import logging
 from collections.abc import Callable
+from contextlib import ExitStack
 from dataclasses import dataclass, field
-from datetime import date
 from functools import partial
 
 from py4j.protocol import Py4JError
@@ -93,44 +93,44 @@ class IngestJob:
 
     def run(self, messages: DataFrame, batch_id: str) -> None:
         """Ingest a bounded set of messages. Repeating a batch id adds nothing."""
-        judged = compact(classify(self.decode(messages), self.config), self.config.registry)
-        if self.staging is not None:
-            folder = f"{self.staging.rstrip('/')}/{batch_id}"
-            judged.write.mode("overwrite").parquet(folder)
-            self._write(judged.sparkSession.read.schema(judged.schema).parquet(folder), batch_id)
-            return
-        judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            self._write(judged, batch_id)
-        finally:
-            judged.unpersist()
-
-    def _write(self, judged: DataFrame, batch_id: str) -> None:
+        with ExitStack() as used:
+
+            def kept(frame: DataFrame, part: str) -> DataFrame:
+                """A frame that is computed once and read several times."""
+                if self.staging is not None:
+                    folder = f"{self.staging.rstrip('/')}/{batch_id}/{part}"
+                    frame.write.mode("overwrite").parquet(folder)
+                    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+                frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+                used.callback(frame.unpersist)
+                return frame
+
+            judged = compact(classify(self.decode(messages), self.config), self.config.registry)
+            self._write(kept(judged, "judged"), batch_id, kept)
+
+    def _write(self, judged: DataFrame, batch_id: str, kept: Callable[[DataFrame, str], DataFrame]) -> None:
         days = store.arrival_days(judged, "arrived_at")
         if not days:
             return
-        self._store(judged, batch_id, days)
-        if self.on_counts is not None:
-            self.on_counts(batch_id, outcome_counts(judged))
-
-    def _store(self, judged: DataFrame, batch_id: str, days: list[date | None]) -> None:
         events = to_events(judged, self.config, keep=quarantine.MESSAGE_COLUMNS)
         known = store.known_keys(self.tables.events(judged.sparkSession, days))
-        accepted, conflicts = store.check_keys(events, known, batch_id)
+        doubtful = kept(store.doubtful_keys(events, known), "doubtful")
+        accepted, conflicts = store.split_by_key(events, doubtful, batch_id)
         accepted = accepted.withColumn("batch_id", F.lit(batch_id))
         if self.event_sink is not None:
             self.event_sink(accepted)
         else:
             store.append_events(accepted, self.tables.events_path)
-        failed = quarantine.with_unique_ids(
-            quarantine.failure_rows(judged, batch_id, self.config).unionByName(
-                quarantine.conflict_rows(conflicts, batch_id)
-            )
+        refused = quarantine.failure_rows(judged, batch_id, self.config).unionByName(
+            quarantine.conflict_rows(conflicts, batch_id)
         )
+        failed = quarantine.with_unique_ids(kept(refused, "refused"))
         if self.failure_sink is not None:
             self.failure_sink(failed)
         else:
             store.append_failures(failed, self.tables.failed_path, days)
+        if self.on_counts is not None:
+            self.on_counts(batch_id, outcome_counts(judged))
 
     def start(
         self,
