@@ -95,6 +95,9 @@ def test_plain_number(spark):
     assert apply(spark, [1599.0, 0.5, 1e10, -2.25, 100.0, 0.0], plain_number, "double") == [
         "1599", "0.5", "10000000000", "-2.25", "100", "0",
     ]
+    assert apply(spark, [1e30, 1e-13, -1.25e-7, 12345678.901, 1.5e300, None], plain_number, "double") == [
+        "1" + "0" * 30, "0.0000000000001", "-0.000000125", "12345678.901", "15" + "0" * 299, None,
+    ]
 
 
 def test_redact_at_any_depth(spark):
@@ -111,3 +114,16 @@ def test_redact_at_any_depth(spark):
     assert row["m"] == {"token": fixed.REDACTED, "a": "b"}
     assert row["counts"] == {"secret": fixed.REDACTED, "n": "2"}
     assert row["gone"] is None
+
+
+def test_redact_inside_nested_lists_and_maps_of_any_key(spark):
+    frame = spark.sql(
+        """select array(array(named_struct('password', 'p', 'ok', 'y'))) as lists,
+           map(7, named_struct('secret', 's', 'ok', 1)) as by_number,
+           array(map('token', array(1), 'n', array(2))) as maps, map(1, array(map('token', 't'))) as deep"""
+    )
+    row = redact(frame).first()
+    assert row["lists"][0][0].password == fixed.REDACTED and row["lists"][0][0].ok == "y"
+    assert row["by_number"][7].secret == fixed.REDACTED and row["by_number"][7].ok == 1
+    assert row["maps"] == [{"token": fixed.REDACTED, "n": "[2]"}]
+    assert row["deep"] == {1: [{"token": fixed.REDACTED}]}

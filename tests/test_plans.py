@@ -64,6 +64,18 @@ def test_first_copies_are_limited_before_the_shuffle(events):
     assert text.count("WindowGroupLimit") >= 2
 
 
+def test_registered_transform_has_no_exchange(spark):
+    frame = QUERIES["transform"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_a_doubtful_key_are_not_compared(events):
+    """The rows to append are joined with the few doubtful keys and ranked only among those."""
+    known = store.known_keys(events)
+    text = plan(store.check_keys(events.drop("batch_id"), known, "b2")[0])
+    assert "LeftAnti" in text and "LeftSemi" in text and "CartesianProduct" not in text
+
+
 def test_no_query_uses_python_rows_or_cartesian_products(spark):
     sf_dir = "/root/testdata/sf0.001"
     for name in ("transform", "latest_20", "backlog_series", "throughput_by_window", "freshness", "scan_events"):
