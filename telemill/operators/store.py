@@ -6,7 +6,7 @@ from datetime import date
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,23 @@ class Tables:
         """The event table, or its part of some arrival days; only their folders are listed then."""
         return _read(spark, self.events_path, schemas.EVENTS, "ingest_date", days)
 
+    def newest(
+        self, spark: SparkSession, rows: int, where: Column | None = None, until: date | None = None
+    ) -> DataFrame:
+        """Events of the newest days, as many days as it takes to hold ``rows`` of them (``where`` counts).
+
+        The days come from the folders' names, newest first, doubling: a page opens the files of its own
+        days, not of the whole history. ``until`` leaves out later days.
+        """
+        days = [d for d in _stored_days(spark, self.events_path) if until is None or (d is not None and d <= until)]
+        taken = 1
+        while True:
+            part = self.events(spark, days[:taken])
+            found = part if where is None else part.where(where)
+            if taken >= len(days) or found.limit(rows).count() >= rows:
+                return found
+            taken *= 2
+
     def failed(self, spark: SparkSession, days: Sequence[date] | None = None) -> DataFrame:
         return _read(spark, self.failed_path, schemas.FAILED_MESSAGES, "created_date", days)
 
@@ -64,9 +81,22 @@ def _read(spark: SparkSession, root: str, schema: T.StructType, key: str, days:
     return reader.option("basePath", root).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
+def _folder(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _folder(spark, folder)
+    return files.exists(path)
+
+
+def _stored_days(spark: SparkSession, root: str) -> list[date | None]:
+    """The days of a table's folders, newest first, rows without a day last."""
+    files, path = _folder(spark, root)
+    values = [s.getPath().getName().partition("=")[2] for s in files.listStatus(path) if s.isDirectory()]
+    days = sorted((date.fromisoformat(v) for v in values if v and v != _NO_DAY), reverse=True)
+    return [*days, None] if _NO_DAY in values else days
 
 
 def create_catalog_tables(spark: SparkSession, database: str, tables: Tables) -> None:
@@ -231,10 +261,9 @@ def delete_events(spark: SparkSession, tables: Tables, ids: DataFrame) -> int:
     remaining = {tuple(row) for row in kept.select(*schemas.EVENT_PARTITIONS).distinct().collect()}
     if remaining:
         _write_events(kept, tables.events_path, "overwrite")
-    # A partition with no row left is not replaced by the write above: give it an empty file.
-    stored_columns = T.StructType([f for f in schemas.EVENTS if f.name not in schemas.EVENT_PARTITIONS])
+    # A partition with no row left is not replaced by the write above: its folder goes, without a job.
     for day, domain in touched:
         if (day, domain) not in remaining:
-            target = f"{tables.events_path}/ingest_date={day}/domain={domain}"
-            spark.createDataFrame([], stored_columns).write.mode("overwrite").parquet(target)
+            files, path = _folder(spark, f"{tables.events_path}/ingest_date={day or _NO_DAY}/domain={domain}")
+            files.delete(path, True)
     return len(touched)

@@ -396,9 +396,11 @@ def get_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("list_after_cursor")
 def list_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty events that follow the fiftieth."""
-    events = _events(spark, sf_dir)
-    last = reads.list_first_page(events, 50).select("ingested_at", "event_id").collect()[-1]
-    return _event_rows(reads.list_after_cursor(events, last["ingested_at"], last["event_id"], 20))
+    tables = stored_tables(spark, sf_dir)
+    first = reads.list_first_page(tables.newest(spark, 50), 50)
+    at, event = first.select("ingested_at", "event_id").collect()[-1]
+    older = tables.newest(spark, 20, reads.before(at, event), at.date())
+    return _event_rows(reads.list_after_cursor(older, at, event, 20))
 
 
 @query("delete_event")
@@ -715,7 +717,7 @@ def backlog_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("list_first_page")
 def list_first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_rows(reads.list_first_page(_events(spark, sf_dir), 50))
+    return _event_rows(reads.list_first_page(stored_tables(spark, sf_dir).newest(spark, 50), 50))
 
 
 @query("list_page")
@@ -736,12 +738,13 @@ def events_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("events_by_source")
 def events_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_rows(reads.events_by_source(_events(spark, sf_dir), "financial_stream", 25))
+    newest = stored_tables(spark, sf_dir).newest(spark, 25, F.col("source") == "financial_stream")
+    return _event_rows(reads.events_by_source(newest, "financial_stream", 25))
 
 
 @query("latest_20")
 def latest_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_rows(reads.list_first_page(_events(spark, sf_dir), 20))
+    return _event_rows(reads.list_first_page(stored_tables(spark, sf_dir).newest(spark, 20), 20))
 
 
 # --- sets --------------------------------------------------------------------------------------

@@ -130,6 +130,19 @@ def test_a_batch_lists_and_reads_only_its_days(spark, tables):
     assert tables.events(spark, [datetime(1999, 1, 1).date()]).isEmpty()
 
 
+def test_newest_days_are_found_by_name(spark, tables):
+    assert tables.newest(spark, 5).isEmpty()
+    IngestJob(tables).run(spread_over_days(spark, [energy()] * 9, days=3), "b1")
+
+    def days(frame):
+        return sorted({str(r[0]) for r in frame.select("ingest_date").collect()})
+
+    assert days(tables.newest(spark, 3)) == ["2024-01-07"]
+    assert days(tables.newest(spark, 4)) == ["2024-01-06", "2024-01-07"]
+    assert tables.newest(spark, 100).count() == 9
+    assert days(tables.newest(spark, 1, until=datetime(2024, 1, 6).date())) == ["2024-01-06"]
+
+
 def walk(events, size):
     found, cursor = [], None
     while True:
