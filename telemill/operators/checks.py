@@ -66,7 +66,7 @@ def payload_violations(registry: Registry) -> Column:
 
 
 def envelope_violations() -> Column:
-    """Broken rules of the event envelope, one per field."""
+    """Broken rules of the event envelope, one per field; ``transform.event_violations`` adds the payload's."""
     required = ["domain", "event_type", "entity_type", "source"]
     checks = {c: [(_missing(c), "required")] for c in required}
     checks |= {c: [(_no_time(c), "required")] for c in ("occurred_at", "ingested_at")}
@@ -76,9 +76,10 @@ def envelope_violations() -> Column:
         (_missing("schema_version"), "required"),
         (f"NOT schema_version RLIKE {quoted(fixed.SEMVER_PATTERN)}", "semver"),
     ]
+    checks["data"] = [("data IS NULL", "required")]
     order = [
         "event_id", "domain", "event_type", "entity_id", "entity_type", "occurred_at", "ingested_at",
-        "source", "schema_version",
+        "source", "schema_version", "data",
     ]
     broken = [
         "CASE " + " ".join(f"WHEN {test} THEN {quoted(f'{c}:{rule}')}" for test, rule in checks[c]) + " END"

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill import fixed
+from telemill.functions.times import parse_rfc3339, truncate_second
+from telemill.operators.checks import parse_type
 
 SUCCESS = "success"
 ERROR = "error"
@@ -86,24 +88,41 @@ def store_totals(accepted: DataFrame, conflicts: DataFrame) -> DataFrame:
     return counted(accepted, SUCCESS).unionByName(counted(conflicts, ERROR))
 
 
-def latency_seconds() -> Column:
+def latency_seconds(occurred_at: Column, arrived_at: Column) -> Column:
     """Time from the event's occurrence to its arrival."""
-    micros = F.timestamp_diff("MICROSECOND", F.col("occurred_at"), F.col("ingested_at"))
-    return micros / 1_000_000
+    return F.timestamp_diff("MICROSECOND", occurred_at, arrived_at) / 1_000_000
 
 
-def latency_histogram(events: DataFrame, boundaries: Sequence[float] = fixed.LATENCY_BOUNDARIES) -> DataFrame:
-    """Events per domain and latency bucket. A bucket holds values up to and including its bound."""
-    seconds = latency_seconds()
-    bucket = F.coalesce(*[F.when(seconds <= b, F.lit(str(b))) for b in boundaries], F.lit("+Inf"))
-    return events.groupBy("domain", bucket.alias("le")).agg(F.count("*").alias("n"))
+def latencies(events: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """``status, domain, seconds`` of stored events and of messages refused after the process stage.
+
+    A message the transform refused has no domain. The quarantine table keeps times to the second, so
+    both ends of a refused message's latency are taken to the second.
+    """
+    seconds = latency_seconds(F.col("occurred_at"), F.col("ingested_at"))
+    stored = events.select(F.lit(SUCCESS).alias("status"), "domain", seconds.alias("seconds"))
+    if failed is None:
+        return stored
+    occurred_at = truncate_second(parse_rfc3339(F.get_json_object("message", "$.timestamp")))
+    domain = F.when(F.col("stage") == fixed.STAGE_STORE, parse_type(F.get_json_object("message", "$.type")))
+    refused = failed.where(F.col("stage") != fixed.STAGE_PROCESS).select(
+        F.lit(ERROR).alias("status"),
+        domain.alias("domain"),
+        latency_seconds(occurred_at, F.col("created_at")).alias("seconds"),
+    )
+    return stored.unionByName(refused)
+
+
+def latency_histogram(timed: DataFrame, boundaries: Sequence[float] = fixed.LATENCY_BOUNDARIES) -> DataFrame:
+    """``latencies`` per status, domain and bucket. A bucket holds values up to and including its bound."""
+    bucket = F.coalesce(*[F.when(F.col("seconds") <= b, F.lit(str(b))) for b in boundaries], F.lit("+Inf"))
+    return timed.groupBy("status", "domain", bucket.alias("le")).agg(F.count("*").alias("n"))
 
 
-def latency_percentiles(events: DataFrame) -> DataFrame:
-    """Median, 95th and 99th percentile latency per domain, from mergeable sketches."""
-    seconds = latency_seconds()
-    return events.groupBy("domain").agg(
-        *[F.percentile_approx(seconds, q, 10000).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]
+def latency_percentiles(timed: DataFrame) -> DataFrame:
+    """Median, 95th and 99th percentile of ``latencies`` per status and domain, from mergeable sketches."""
+    return timed.groupBy("status", "domain").agg(
+        *[F.percentile_approx("seconds", q, 10000).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]
     )
 
 
@@ -123,7 +142,7 @@ def throughput_by_window(
         .withColumns(
             {
                 "success_rate": F.round(F.col("processed") / F.col("sent") * 100, 2),
-                "throughput": F.round(F.col("processed") / seconds, 3),
+                "throughput": F.round(F.col("processed") / seconds, 1),
             }
         )
     )

@@ -194,6 +194,38 @@ def to_events(
     )
 
 
+def _by_type(registry: Registry, results: dict[str, str], otherwise: str) -> Column:
+    """One of ``results`` by the row's event type; types that are not registered count as unknown."""
+    known = one_of("event_type", [s.type for s in registry])
+    kind = f"CASE WHEN {known} THEN event_type ELSE {quoted(fixed.UNKNOWN_TYPE)} END"
+    return F.expr(lookup(kind, results, otherwise))
+
+
+def event_violations(events: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Add ``violations``: the broken rules of the envelope, then those of the payload of its type."""
+    registry = registry or default_registry()
+    none = "CAST(array() AS ARRAY<STRING>)"
+    of_payload = F.coalesce(_by_type(registry, {s.type: s.violations() for s in registry}, none), F.expr(none))
+    broken = F.concat(checks.envelope_violations(), of_payload)
+    return typed_payloads(events, registry).withColumn("violations", broken).drop(*[s.column for s in registry])
+
+
+def normalize_events(events: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Normalise the envelope and the payload of the type the row was stored with.
+
+    A payload that cannot be decoded, or whose domain has nothing to normalise, stays as it is.
+    """
+    registry = registry or default_registry()
+    texts = {
+        s.type: f"coalesce(to_json({name(s.column)}, map('ignoreNullFields', 'false')), data)"
+        for s in registry
+        if s.normalize(name(s.column))
+    }
+    typed = normalize_payload(typed_payloads(events, registry), registry)
+    rewritten = typed.withColumn("data", _by_type(registry, texts, "data"))
+    return normalize_envelope(rewritten.drop(*[s.column for s in registry]))
+
+
 def normalize_envelope(events: DataFrame) -> DataFrame:
     """Standard spelling of the envelope fields and defaults for the empty ones.
 

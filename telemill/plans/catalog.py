@@ -74,15 +74,17 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECORDS_PER_FILE = 10_000
 
 
-def _message_files(spark: SparkSession, sf_dir: str) -> str:
-    """The device messages as files in the shape of a topic."""
+def _message_files(spark: SparkSession, sf_dir: str, deliveries: int = 1) -> str:
+    """The device messages as files in the shape of a topic, each delivered so many times."""
     path = scratch.new_folder(spark, "messages")
-    (
-        adapter.device_messages(spark, sf_dir)
-        .write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-        .option("maxRecordsPerFile", _RECORDS_PER_FILE)
-        .json(path)
-    )
+    for _ in range(deliveries):
+        (
+            adapter.device_messages(spark, sf_dir)
+            .write.mode("append")
+            .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+            .option("maxRecordsPerFile", _RECORDS_PER_FILE)
+            .json(path)
+        )
     return path
 
 
@@ -364,8 +366,11 @@ def validate_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _odd_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored event with one envelope field made odd, by position."""
+    """Every stored event with one envelope field made odd, by position, and some payloads spoiled."""
     slot = F.col("offset") % 10
+    spoiled = F.regexp_replace("data", '"status":"[^"]*"', '"status":" Approved "')
+    spoiled = F.regexp_replace(spoiled, '"voltage_v":[^,}]*', '"voltage_v":900.0')
+    spoiled = F.regexp_replace(spoiled, '"humidity_percent":[^,}]*', '"humidity_percent":-5.0')
     changes = {
         "event_id": F.when(slot == 0, fixed.ZERO_UUID),
         "entity_id": F.when(slot == 1, F.repeat(F.lit("x"), F.lit(256))).when(slot == 2, F.repeat(F.lit("é"), F.lit(255))),
@@ -374,15 +379,15 @@ def _odd_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type": F.when(slot == 7, "  Energy Meter\t"),
         "domain": F.when(slot == 8, "　Energy_METER "),
         "entity_type": F.when(slot == 9, " Sensor\n"),
+        "data": F.when(F.col("offset") % 7 == 0, spoiled),
     }
     return _events(spark, sf_dir).withColumns({c: F.coalesce(v, F.col(c)) for c, v in changes.items()})
 
 
 @query("validate_envelope")
 def validate_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _odd_envelopes(spark, sf_dir).select(
-        "offset", F.concat_ws(", ", checks.envelope_violations()).alias("violations")
-    )
+    judged = tr.event_violations(_odd_envelopes(spark, sf_dir))
+    return judged.select("offset", F.concat_ws(", ", "violations").alias("violations"))
 
 
 @query("get_event")
@@ -507,8 +512,13 @@ def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("normalize_envelope")
 def normalize_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normalized = tr.normalize_envelope(_odd_envelopes(spark, sf_dir))
-    return normalized.select("offset", "domain", "event_type", "entity_type", "source", "schema_version")
+    normalized = tr.normalize_events(_odd_envelopes(spark, sf_dir))
+    return normalized.select(
+        "offset", "domain", "event_type", "entity_type", "source", "schema_version",
+        F.get_json_object("data", "$.status").alias("status"),
+        F.get_json_object("data", "$.voltage_v").cast("double").alias("voltage_v"),
+        F.get_json_object("data", "$.humidity_percent").cast("double").alias("humidity_percent"),
+    )
 
 
 @query("enrich_registry")
@@ -629,12 +639,12 @@ def metric_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latency_histogram")
 def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.latency_histogram(_events(spark, sf_dir))
+    return quality.latency_histogram(quality.latencies(_events(spark, sf_dir), _failed(spark, sf_dir)))
 
 
 @query("latency_percentiles")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.latency_percentiles(_events(spark, sf_dir))
+    return quality.latency_percentiles(quality.latencies(_events(spark, sf_dir), _failed(spark, sf_dir)))
 
 
 def _series(spark: SparkSession, sf_dir: str, seconds: int = 3600) -> DataFrame:
@@ -752,12 +762,11 @@ def latest_20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("history_union")
 def history_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series up to the last window, and the last window added to it."""
-    series = _series(spark, sf_dir)
-    newest = series.groupBy("topic").agg(F.max("window_start").alias("window_start"))
-    new_run = series.join(newest, ["topic", "window_start"], "left_semi")
-    history = series.join(newest, ["topic", "window_start"], "left_anti")
-    return quality.history_union(history, new_run)
+    """The series of the device messages, and a run over the orders' topic added to it."""
+    orders = tr.classify(decode(adapter.order_messages(spark, sf_dir)))
+    refused = quarantine.failure_rows(orders, "load-2")
+    new_run = quality.throughput_by_window(tr.to_events(orders), refused)
+    return quality.history_union(_series(spark, sf_dir), new_run)
 
 
 @query("split_is_partition")
@@ -887,14 +896,14 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_counters")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts gathered per micro-batch, added up."""
+    """Counts gathered per micro-batch, added up; every message comes twice and is stored once."""
     tables = store.Tables.under(scratch.new_folder(spark, "tables")).create(spark)
     counts = scratch.new_folder(spark, "counts")
 
     def keep(batch_id: str, frame: DataFrame) -> None:
         frame.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(counts)
 
-    stream = message_stream_files(spark, _message_files(spark, sf_dir), max_files_per_trigger=4)
+    stream = message_stream_files(spark, _message_files(spark, sf_dir, deliveries=2), max_files_per_trigger=4)
     job = IngestJob(tables, on_counts=keep)
     job.start(stream, scratch.new_folder(spark, "offsets"), trigger={"availableNow": True}).awaitTermination()
     kept = spark.read.schema("stage string, domain string, event_type string, n bigint, batch_id string").parquet(counts)

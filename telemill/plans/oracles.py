@@ -150,13 +150,19 @@ def _series(seconds: int = 3600) -> str:
     bucket = f"make_timestamp(CAST(floor(epoch(moment) / {seconds}) AS BIGINT) * {seconds} * 1000000)"
     return f"""series AS (
   SELECT topic, window_start, count(*) AS sent, CAST(sum(stored) AS BIGINT) AS processed,
-    round(sum(stored) / count(*) * 100, 2) AS success_rate, round(sum(stored) / {seconds}, 3) AS throughput
+    round(sum(stored) / count(*) * 100, 2) AS success_rate, round(sum(stored) / {seconds}, 1) AS throughput
   FROM (SELECT topic, {bucket} AS window_start, stored FROM (
     SELECT topic, ingested_at AS moment, 1 AS stored FROM silver
     UNION ALL SELECT topic, created_at, 0 FROM failed))
   GROUP BY topic, window_start)"""
 
 
+# Refused messages have both ends of their latency to the second, and no domain before the store.
+_TIMED = """timed AS (
+  SELECT 'success' AS status, domain, epoch(ingested_at - occurred_at) AS s FROM silver
+  UNION ALL SELECT 'error', NULL, epoch(created_at - date_trunc('second', occurred_at)) FROM failed
+  WHERE stage <> 'process')"""
+
 _BACKLOG = """backlog AS (
   SELECT topic, minute, CAST(sum(change) OVER (PARTITION BY topic ORDER BY minute) AS BIGINT) AS backlog
   FROM (SELECT topic, minute, sum(step) AS change FROM (
@@ -186,7 +192,8 @@ _ODD = """odd AS (
     CASE WHEN n10 = 1 THEN repeat('x', 256) WHEN n10 = 2 THEN repeat('é', 255) ELSE entity_id END AS entity_id,
     CASE WHEN n10 = 9 THEN ' Sensor' || chr(10) ELSE entity_type END AS entity_type,
     CASE WHEN n10 = 6 THEN '' ELSE source END AS source,
-    CASE n10 WHEN 3 THEN '1.0' WHEN 4 THEN '2.1.0-rc.1+b5' WHEN 5 THEN '' ELSE schema_version END AS schema_version
+    CASE n10 WHEN 3 THEN '1.0' WHEN 4 THEN '2.1.0-rc.1+b5' WHEN 5 THEN '' ELSE schema_version END AS schema_version,
+    "offset" % 7 = 0 AS spoiled, n10 <> 7 AS typed, event_type AS true_type, status, voltage_v, humidity_percent
   FROM (SELECT *, "offset" % 10 AS n10 FROM silver))"""
 
 _TOKEN = (
@@ -289,7 +296,10 @@ ORACLES: dict[str, str] = {
         "CASE WHEN length(entity_id) > 255 THEN 'entity_id:max=255' END, "
         "CASE WHEN source = '' THEN 'source:required' END, "
         "CASE WHEN schema_version = '' THEN 'schema_version:required' "
-        "WHEN schema_version = '1.0' THEN 'schema_version:semver' END) AS violations FROM odd",
+        "WHEN schema_version = '1.0' THEN 'schema_version:semver' END, "
+        "CASE WHEN spoiled AND typed THEN CASE true_type WHEN 'financial_stream' THEN 'status:oneof' "
+        "WHEN 'energy_meter' THEN 'voltage_v:lte=500' WHEN 'temperature_sensor' THEN 'humidity_percent:gte=0' END END"
+        ") AS violations FROM odd",
         _ODD,
     ),
     "get_event": _sql(f"SELECT {_EVENT} FROM silver {_NEWEST} LIMIT 1"),
@@ -337,7 +347,11 @@ ORACLES: dict[str, str] = {
         "CASE WHEN event_type LIKE '%Meter%' THEN 'energy_meter' ELSE event_type END AS event_type, "
         "CASE WHEN entity_type LIKE '%Sensor%' THEN 'sensor' ELSE entity_type END AS entity_type, "
         "CASE WHEN source = '' THEN 'unknown' ELSE source END AS source, "
-        "CASE WHEN schema_version = '' THEN '1.0' ELSE schema_version END AS schema_version FROM odd",
+        "CASE WHEN schema_version = '' THEN '1.0' ELSE schema_version END AS schema_version, "
+        "CASE WHEN spoiled AND status IS NOT NULL THEN CASE WHEN typed THEN 'approved' ELSE ' Approved ' END ELSE status END AS status, "
+        "CAST(CASE WHEN spoiled AND voltage_v IS NOT NULL THEN 900 ELSE voltage_v END AS DOUBLE) AS voltage_v, "
+        "CASE WHEN spoiled AND humidity_percent IS NOT NULL THEN CASE WHEN typed THEN 0.0 ELSE -5.0 END ELSE humidity_percent END "
+        "AS humidity_percent FROM odd",
         _ODD,
     ),
     "enrich_registry": _sql('SELECT "offset", domain, entity_type, source FROM cls'),
@@ -399,14 +413,16 @@ ORACLES: dict[str, str] = {
         _CONFLICTS,
     ),
     "latency_histogram": _sql(
-        "SELECT domain, CASE "
+        "SELECT status, domain, CASE "
         + " ".join(f"WHEN s <= {b} THEN '{b}'" for b in (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000))
         + " ELSE '+Inf' END AS le, count(*) AS n FROM "
-        "(SELECT domain, epoch(ingested_at - occurred_at) AS s FROM silver) GROUP BY ALL"
+        "timed GROUP BY ALL",
+        _TIMED,
     ),
     "latency_percentiles": _sql(
-        "SELECT domain, quantile_disc(s, 0.5) AS p50, quantile_disc(s, 0.95) AS p95, quantile_disc(s, 0.99) AS p99 "
-        "FROM (SELECT domain, epoch(ingested_at - occurred_at) AS s FROM silver) GROUP BY domain"
+        "SELECT status, domain, quantile_disc(s, 0.5) AS p50, quantile_disc(s, 0.95) AS p95, quantile_disc(s, 0.99) AS p99 "
+        "FROM timed GROUP BY ALL",
+        _TIMED,
     ),
     "throughput_by_window": _sql("SELECT * FROM series", _series()),
     "throughput_tier": _sql(
@@ -468,7 +484,11 @@ ORACLES: dict[str, str] = {
     "events_by_source": _sql(f"SELECT {_EVENT} FROM silver WHERE source = 'financial_stream' {_NEWEST} LIMIT 25"),
     "latest_20": _sql(f"SELECT {_EVENT} FROM silver {_NEWEST} LIMIT 20"),
     # sets
-    "history_union": _sql("SELECT * FROM series", _series()),
+    "history_union": _sql(
+        "SELECT * FROM series UNION ALL SELECT topic, date_trunc('hour', CAST(ordered_at AS TIMESTAMP)), count(*), "
+        "count(*), 100.0, round(count(*) / 3600, 1) FROM ord GROUP BY ALL",
+        _series(),
+    ),
     "split_is_partition": _sql(
         "SELECT 1 AS in_rows, CASE WHEN good THEN 1 ELSE 0 END AS accepted_rows, CASE WHEN good THEN 0 ELSE 1 END AS rejected_rows, "
         "count(*) AS n FROM (SELECT NOT is_malformed AND NOT is_empty AND stage IS NULL AS good FROM spoiled) GROUP BY ALL",
@@ -505,7 +525,11 @@ ORACLES: dict[str, str] = {
     "stream_ingest": _sql(
         'SELECT topic, "partition", "offset", stage, CASE WHEN stage IS NULL THEN event_id END AS event_id FROM cls'
     ),
-    "stream_counters": _sql("SELECT stage, domain, type AS event_type, count(*) AS n FROM cls GROUP BY ALL"),
+    "stream_counters": _sql(
+        "SELECT stage, domain, type AS event_type, CAST(sum(CASE WHEN stage IS NULL THEN 1 ELSE 2 END) AS BIGINT) AS n "
+        "FROM cls GROUP BY ALL "
+        "UNION ALL SELECT 'store', domain, type, count(*) FROM cls WHERE stage IS NULL GROUP BY ALL"
+    ),
     # extension
     "custom_domain": _sql(
         "SELECT event_id, domain, 'sensor' AS entity_type, 'building' AS source, r_temperature AS temperature_c, "

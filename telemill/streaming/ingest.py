@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from telemill import fixed
 from telemill.operators import quarantine, store
 from telemill.operators.decode import decode
 from telemill.operators.transform import TransformConfig, classify, compact, to_events
@@ -71,9 +72,21 @@ def table_then_dlq(tables: store.Tables, dead_letters: Sink) -> Sink:
     )
 
 
-def outcome_counts(classified: DataFrame) -> DataFrame:
-    """Messages by stage they failed in (NULL: none), domain and type."""
-    return classified.groupBy("stage", "domain", F.col("type").alias("event_type")).agg(F.count("*").alias("n"))
+def outcome_counts(classified: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
+    """Messages by stage they failed in (NULL: none), domain and type.
+
+    ``conflicts``, the events that the key check refused, are counted in the stage ``store``.
+    """
+    counts = classified.groupBy("stage", "domain", F.col("type").alias("event_type")).agg(F.count("*").alias("n"))
+    if conflicts is None:
+        return counts
+    refused = conflicts.groupBy("domain", "event_type").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    moved = refused.withColumn("stage", F.lit(fixed.STAGE_STORE)).unionByName(
+        refused.withColumns({"stage": none, "n": -F.col("n")})
+    )
+    both = counts.unionByName(moved).groupBy("stage", "domain", "event_type")
+    return both.agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 @dataclass
@@ -130,7 +143,7 @@ class IngestJob:
         else:
             store.append_failures(failed, self.tables.failed_path, days)
         if self.on_counts is not None:
-            self.on_counts(batch_id, outcome_counts(judged))
+            self.on_counts(batch_id, outcome_counts(judged, conflicts))
 
     def start(
         self,
