@@ -2,10 +2,11 @@
 
 Every whole text is scanned for three kinds of spans: assignments of a secret, cloud access keys and
 long hexadecimal runs. Their values are hashed and counted over the corpus: in how many distinct
-repositories, and with how many distinct owners, a value occurs. A value of one owner is marked
-``live`` (it looks like that owner's credential); a value of at least ``shared_owners`` owners is
-marked ``example`` (a widely copied sample). The marks are further spans, over the value; the scanned
-spans all stay.
+repositories, and with how many distinct owners, a value occurs. A value of at least ``shared_owners``
+owners or at least ``shared_repositories`` repositories is marked ``example`` (a widely copied sample).
+Any other value of one owner is marked ``live`` (it looks like that owner's credential). A value of
+several owners below both limits (two owners, by default) is undecided and has no mark. The marks are
+further spans, over the value; the scanned spans all stay.
 
 Distinct repositories and owners are counted by grouping twice, so that a value copied into a third
 of all rows is combined in each task before anything is sent.
@@ -131,20 +132,25 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def secrets(
-    documents: DataFrame, repository: str = "doc_id", owner: str = "source", shared_owners: int = 3
+    documents: DataFrame,
+    repository: str = "doc_id",
+    owner: str = "source",
+    shared_owners: int = 3,
+    shared_repositories: int = 10,
 ) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans``, and ``n_live, n_example``.
 
     A repository is taken to belong to its owner; the same name under two owners counts twice.
     """
     found = scan(documents, repository, owner)
+    copied = (F.col("n_owners") >= shared_owners) | (F.col("n_repositories") >= shared_repositories)
     marks = (
         found.select("row", F.explode("candidates").alias("c"))
         .join(ownership(found), F.col("c.hash") == F.col("hash"))
         .select(
             "row",
             F.col("c.start").alias("start"),
-            F.when(F.col("n_owners") == 1, F.lit(3)).when(F.col("n_owners") >= shared_owners, F.lit(4)).alias("kind"),
+            F.when(copied, F.lit(4)).when(F.col("n_owners") == 1, F.lit(3)).alias("kind"),
             F.col("c.end").alias("end"),
         )
         .where("kind IS NOT NULL")

@@ -250,6 +250,15 @@ def test_secrets(rows, documents, odd_ids, empty):
     assert secrets.secrets(empty).count() == 0
 
 
+def test_secrets_copied_within_one_owner(spark):
+    rows = [(k, "password=manycopies1", "s1") for k in range(10)] + [(20 + k, "password=fewcopies12", "s1") for k in range(9)]
+    rows += [(40 + k, "password=twoowners12", f"s{k % 2}") for k in range(10)]
+    rows += [(60 + k, "password=twoandfew12", f"s{k % 2}") for k in range(9)]
+    got = by_id(secrets.secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")))
+    marks = {first: {(r.n_live, r.n_example) for k, r in got.items() if first <= k < first + 20} for first in (0, 20, 40, 60)}
+    assert marks == {0: {(0, 1)}, 20: {(1, 0)}, 40: {(0, 1)}, 60: {(0, 0)}}
+
+
 @pytest.mark.parametrize("operator, column", [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
 def test_classifiers(spark, documents, odd_ids, empty, operator, column):
     rng = np.random.default_rng(6)
