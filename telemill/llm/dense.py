@@ -47,7 +47,8 @@ def integer_vectors(embeddings: DataFrame, scale: int, dims: int | None = None)
 
 
 def _pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.assign(_null=frame["vec_id"].isna(), _id=frame["vec_id"].fillna(NO_ID).astype("int64"))
+    null = frame["vec_id"].isna().to_numpy()
+    frame = frame.assign(_null=null, _id=np.where(null, NO_ID, frame["vec_id"].fillna(0).astype("int64")))
     frame = frame.sort_values(["_null", "_id", "tag"], kind="stable")
     dims = int(key[0])
     comps = np.array(frame["comps"].tolist(), dtype=np.int64).reshape(len(frame), dims)
