@@ -76,8 +76,9 @@ def _read(spark: SparkSession, root: str, schema: T.StructType, key: str, days:
     reader = spark.read.schema(schema)
     if days is None:
         return reader.parquet(root)
-    folders = [f"{root}/{key}={day or _NO_DAY}" for day in days]
-    found = [f for f in folders if _exists(spark, f)]
+    # One listing of the table's folders, whatever the number of days asked for.
+    stored = set(_stored_days(spark, root))
+    found = [f"{root}/{key}={day or _NO_DAY}" for day in dict.fromkeys(days) if day in stored]
     return reader.option("basePath", root).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
@@ -86,11 +87,6 @@ def _folder(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    files, path = _folder(spark, folder)
-    return files.exists(path)
-
-
 def _stored_days(spark: SparkSession, root: str) -> list[date | None]:
     """The days of a table's folders, newest first, rows without a day last."""
     files, path = _folder(spark, root)

@@ -130,6 +130,20 @@ def test_a_batch_lists_and_reads_only_its_days(spark, tables):
     assert tables.events(spark, [datetime(1999, 1, 1).date()]).isEmpty()
 
 
+def test_many_days_cost_one_listing(spark, tables, monkeypatch):
+    """2,000 asked-for days of which three are stored: one listing of the table, no call per day."""
+    IngestJob(tables).run(spread_over_days(spark, [energy()] * 9, days=3), "b1")
+    listings = []
+    listed = store._stored_days
+    monkeypatch.setattr(store, "_stored_days", lambda *a: listings.append(a) or listed(*a))
+    start = datetime(2019, 1, 1).date()
+    days = [start + timedelta(days=k) for k in range(2000)]
+    assert "2024-01-05" in {d.isoformat() for d in days}
+    part = tables.events(spark, days)
+    assert len(listings) == 1 and part.count() == 9
+    assert {f.split("ingest_date=")[1][:10] for f in part.inputFiles()} == {"2024-01-05", "2024-01-06", "2024-01-07"}
+
+
 def test_newest_days_are_found_by_name(spark, tables):
     assert tables.newest(spark, 5).isEmpty()
     IngestJob(tables).run(spread_over_days(spark, [energy()] * 9, days=3), "b1")
