@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill import schemas
+from telemill.operators import keyfilter
 from telemill.operators.plan import copies
 
 # Among copies of a key the earliest position wins. All other columns follow in the order, so that
@@ -34,12 +35,26 @@ class Tables:
     events_path: str
     failed_path: str
 
+    @property
+    def key_filter_path(self) -> str:
+        """The Bloom filter of stored keys per day (``keyfilter``)."""
+        return f"{self.events_path.rstrip('/')}-key-filter"
+
+    def key_filter(self, spark: SparkSession, days: Sequence[date]) -> DataFrame | None:
+        """The filter rows of some days, or None for a table made before the filter existed."""
+        return keyfilter.read(spark, self.key_filter_path, list(days))
+
     @classmethod
     def under(cls, root: str) -> "Tables":
         return cls(f"{root}/events", f"{root}/failed_messages")
 
     def create(self, spark: SparkSession) -> "Tables":
-        """Create empty tables where there are none; existing ones are left alone."""
+        """Create empty tables where there are none; existing ones are left alone.
+
+        The key filter is created only with a new event table: one made before would lack its keys.
+        """
+        if not _exists(spark, self.events_path):
+            keyfilter.create(spark, self.key_filter_path)
         for path, schema, partitions in (
             (self.events_path, schemas.EVENTS, schemas.EVENT_PARTITIONS),
             (self.failed_path, schemas.FAILED_MESSAGES, schemas.FAILED_PARTITIONS),
@@ -87,6 +102,11 @@ def _folder(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _folder(spark, folder)
+    return files.exists(path)
+
+
 def _stored_days(spark: SparkSession, root: str) -> list[date | None]:
     """The days of a table's folders, newest first, rows without a day last."""
     files, path = _folder(spark, root)
@@ -153,12 +173,17 @@ def arrival_days(records: DataFrame, column: str) -> list[date | None]:
     return sorted((row[0] for row in records.select(F.to_date(column)).distinct().collect()), key=str)
 
 
-def doubtful_keys(batch: DataFrame, known: DataFrame) -> DataFrame:
+def doubtful_keys(batch: DataFrame, known: DataFrame, filters: DataFrame | None = None) -> DataFrame:
     """Keys that need a verdict: those that occur twice in the batch, and those that are stored.
 
-    Only keys are shuffled for it. Keep the result when it is used more than once.
+    Only keys are shuffled for it. With the key filter of the batch's days (``Tables.key_filter``), only
+    keys that may be stored meet the stored keys, and those few are sent to the scan of stored keys, which
+    is then not shuffled. Keep the result when it is used more than once.
     """
     counted = batch.groupBy("event_id").agg(F.count("*").alias("_rows"))
+    if filters is not None:
+        maybe = keyfilter.maybe_stored(batch.select("event_id", F.col("ingest_date").alias("day")), filters)
+        known = known.join(maybe.select("event_id").distinct(), "event_id", "left_semi")
     return counted.join(known, "event_id", "left").where("_rows > 1 OR _stored_by IS NOT NULL").drop("_rows")
 
 
@@ -176,9 +201,11 @@ def split_by_key(batch: DataFrame, doubtful: DataFrame, batch_id: str) -> tuple[
     return plain.unionByName(fresh), taken.unionByName(later_copies(copied))
 
 
-def check_keys(batch: DataFrame, known: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
+def check_keys(
+    batch: DataFrame, known: DataFrame, batch_id: str, filters: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Both steps at once, for a caller that reads the parts once."""
-    return split_by_key(batch, doubtful_keys(batch, known), batch_id)
+    return split_by_key(batch, doubtful_keys(batch, known, filters), batch_id)
 
 
 def append_events(events: DataFrame, path: str) -> None:

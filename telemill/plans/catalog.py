@@ -189,8 +189,9 @@ def _second_delivery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         _second_batches[key] = folder
     batch = spark.read.parquet(_second_batches[key])
     days = store.arrival_days(batch, "ingested_at")
-    known = store.known_keys(stored_tables(spark, sf_dir).events(spark, days))
-    return store.check_keys(batch, known, "load-2")
+    tables = stored_tables(spark, sf_dir)
+    known = store.known_keys(tables.events(spark, days))
+    return store.check_keys(batch, known, "load-2", tables.key_filter(spark, days))
 
 
 @query("store_events")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telemill import fixed
-from telemill.operators import quarantine, store
+from telemill.operators import keyfilter, quarantine, store
 from telemill.operators.decode import decode
 from telemill.operators.transform import TransformConfig, classify, compact, to_events
 
@@ -127,12 +127,17 @@ class IngestJob:
             return
         events = to_events(judged, self.config, keep=quarantine.MESSAGE_COLUMNS)
         known = store.known_keys(self.tables.events(judged.sparkSession, days))
-        doubtful = kept(store.doubtful_keys(events, known), "doubtful")
+        filters = self.tables.key_filter(judged.sparkSession, days)
+        doubtful = kept(store.doubtful_keys(events, known, filters), "doubtful")
         accepted, conflicts = store.split_by_key(events, doubtful, batch_id)
         accepted = accepted.withColumn("batch_id", F.lit(batch_id))
         if self.event_sink is not None:
             self.event_sink(accepted)
         else:
+            # The filter learns every key of the batch before any is stored: a crash in between only
+            # leaves false positives. Keys of refused copies are stored already.
+            if filters is not None:
+                keyfilter.append(events.select("event_id", "ingest_date"), "ingest_date", self.tables.key_filter_path)
             store.append_events(accepted, self.tables.events_path)
         refused = quarantine.failure_rows(judged, batch_id, self.config).unionByName(
             quarantine.conflict_rows(conflicts, batch_id)

@@ -7,7 +7,7 @@ from helpers import ARRIVED, climate, energy, finance, message, records
 from pyspark.sql import functions as F
 
 from telemill.functions import InvalidCursor
-from telemill.operators import reads, store
+from telemill.operators import keyfilter, reads, store
 from telemill.operators.store import Tables
 from telemill.streaming import IngestJob
 
@@ -249,3 +249,40 @@ def test_keyset_predicate_matches_tuple_order(spark):
     for t, i in rows:
         found = {tuple(r) for r in frame.where(reads.before(t, i)).collect()}
         assert found == {r for r in rows if r < (t, i)}
+
+
+def test_key_filter_misses_no_stored_key(spark, tables):
+    """Every stored key passes the filter; of 20,000 fresh keys of a stored day almost none do."""
+    IngestJob(tables).run(spread_over_days(spark, [energy(), finance()] * 20, days=3), "b1")
+    stored = tables.events(spark).select("event_id", F.col("ingest_date").alias("day"))
+    days = [r[0] for r in stored.select("day").distinct().collect()]
+    filters = tables.key_filter(spark, days)
+    assert filters is not None and keyfilter.maybe_stored(stored, filters).count() == stored.count() == 40
+    fresh = spark.range(20000).select(
+        F.concat(F.lit("fresh-"), F.col("id").cast("string")).alias("event_id"), F.lit(days[0]).alias("day")
+    )
+    assert keyfilter.maybe_stored(fresh, filters).count() <= 2
+    none_day = spark.createDataFrame([("k", None)], "event_id string, day date")
+    assert keyfilter.maybe_stored(none_day, filters).count() == 0
+
+
+def test_key_filter_is_absent_for_an_older_table(spark, tables, tmp_path):
+    """A table made before the filter existed gets none, and the check compares all keys."""
+    IngestJob(tables).run(records(spark, [energy()] * 3), "b1")
+    older = Tables(tables.events_path, tables.failed_path)
+    import shutil
+
+    shutil.rmtree(older.key_filter_path)
+    assert older.key_filter(spark, store.arrival_days(records(spark, [energy()]), "timestamp")) is None
+    IngestJob(older).run(records(spark, [energy()] * 3), "b2")
+    assert older.events(spark).count() == 3 and older.failed(spark).count() == 3
+
+
+def test_only_keys_the_filter_passes_meet_the_stored_keys(spark, tables):
+    IngestJob(tables).run(records(spark, [energy()] * 3), "b1")
+    events = tables.events(spark)
+    days = [r[0] for r in events.select("ingest_date").distinct().collect()]
+    doubtful = store.doubtful_keys(events.drop("batch_id"), store.known_keys(events), tables.key_filter(spark, days))
+    text = doubtful._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in text and "CartesianProduct" not in text
+    assert doubtful.count() == 3
