@@ -44,6 +44,38 @@ class Tables:
         """The filter rows of some days, or None for a table made before the filter existed."""
         return keyfilter.read(spark, self.key_filter_path, list(days))
 
+    @property
+    def index_path(self) -> str:
+        """Where each id's day and domain are found, by a prefix of the id (``append_index``)."""
+        return f"{self.events_path.rstrip('/')}-id-index"
+
+    def lookup(self, spark: SparkSession, event_id: str) -> DataFrame:
+        """The rows with this id, from the folders the index names; the whole table without an index.
+
+        One bucket of the index is opened, then only the day and domain folders of the id, so the
+        files read do not grow with the history.
+        """
+        bucket = f"{self.index_path}/bucket={_bucket_of(event_id)}"
+        if not _exists(spark, self.index_path):
+            return self.events(spark).where(F.col("event_id") == event_id)
+        if not _exists(spark, bucket):
+            return spark.createDataFrame([], schemas.EVENTS)
+        places = (
+            spark.read.schema(_INDEX_ROW).parquet(bucket)
+            .where(F.col("event_id") == event_id)
+            .select("ingest_date", "domain")
+            .distinct()
+            .collect()
+        )
+        if not places:
+            return spark.createDataFrame([], schemas.EVENTS)
+        # The day folders are named here; Spark prunes their domain folders by the predicate.
+        part = self.events(spark, sorted({day for day, _ in places}, key=str))
+        domains = F.col("domain").isin([d for _, d in places if d is not None])
+        if any(d is None for _, d in places):
+            domains = domains | F.col("domain").isNull()
+        return part.where(domains & (F.col("event_id") == event_id))
+
     @classmethod
     def under(cls, root: str) -> "Tables":
         return cls(f"{root}/events", f"{root}/failed_messages")
@@ -55,6 +87,7 @@ class Tables:
         """
         if not _exists(spark, self.events_path):
             keyfilter.create(spark, self.key_filter_path)
+            spark.createDataFrame([], _INDEX_ROW).write.mode("ignore").partitionBy("bucket").parquet(self.index_path)
         for path, schema, partitions in (
             (self.events_path, schemas.EVENTS, schemas.EVENT_PARTITIONS),
             (self.failed_path, schemas.FAILED_MESSAGES, schemas.FAILED_PARTITIONS),
@@ -87,6 +120,42 @@ class Tables:
         return _read(spark, self.failed_path, schemas.FAILED_MESSAGES, "created_date", days)
 
 
+#: Index buckets: the first characters of the id (hex text), 256 folders.
+_BUCKET_CHARS = 2
+
+_INDEX_ROW = T.StructType(
+    [
+        T.StructField("event_id", T.StringType()),
+        T.StructField("ingest_date", T.DateType()),
+        T.StructField("domain", T.StringType()),
+        T.StructField("bucket", T.StringType()),
+    ]
+)
+
+
+def _bucket_of(event_id: str) -> str:
+    return (event_id or "")[:_BUCKET_CHARS].lower() or "_"
+
+
+def append_index(events: DataFrame, path: str) -> None:
+    """Add the ids of a batch to the index; call it before the events are written.
+
+    An id indexed but not stored (a crash in between, a refused copy) costs one empty look; an id
+    stored but not indexed cannot happen. Rows are sorted by id inside a bucket, so a lookup reads
+    the row groups whose id range holds it.
+    """
+    bucket = F.coalesce(F.nullif(F.lower(F.substring("event_id", 1, _BUCKET_CHARS)), F.lit("")), F.lit("_"))
+    (
+        events.select("event_id", "ingest_date", "domain", bucket.alias("bucket"))
+        .distinct()
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "event_id")
+        .write.mode("append")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
+
+
 def _read(spark: SparkSession, root: str, schema: T.StructType, key: str, days: Sequence[date] | None) -> DataFrame:
     reader = spark.read.schema(schema)
     if days is None:

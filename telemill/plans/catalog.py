@@ -393,10 +393,11 @@ def validate_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("get_event")
 def get_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest event, looked up by its id."""
-    events = _events(spark, sf_dir)
-    newest = reads.list_first_page(events, 1).select("event_id").first()
-    return _event_rows(reads.get_event(events, newest["event_id"] if newest else ""))
+    """The newest event, looked up by its id through the id index."""
+    tables = stored_tables(spark, sf_dir)
+    newest = reads.list_first_page(tables.newest(spark, 1), 1).select("event_id").first()
+    wanted = newest["event_id"] if newest else ""
+    return _event_rows(reads.get_event(tables.lookup(spark, wanted), wanted))
 
 
 @query("list_after_cursor")

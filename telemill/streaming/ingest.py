@@ -138,6 +138,7 @@ class IngestJob:
             # leaves false positives. Keys of refused copies are stored already.
             if filters is not None:
                 keyfilter.append(events.select("event_id", "ingest_date"), "ingest_date", self.tables.key_filter_path)
+                store.append_index(events, self.tables.index_path)
             store.append_events(accepted, self.tables.events_path)
         refused = quarantine.failure_rows(judged, batch_id, self.config).unionByName(
             quarantine.conflict_rows(conflicts, batch_id)

@@ -286,3 +286,17 @@ def test_only_keys_the_filter_passes_meet_the_stored_keys(spark, tables):
     text = doubtful._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in text and "CartesianProduct" not in text
     assert doubtful.count() == 3
+
+
+def test_lookup_opens_one_bucket_and_the_days_of_the_id(spark, tables):
+    IngestJob(tables).run(spread_over_days(spark, [energy(), finance()] * 6, days=3), "b1")
+    events = tables.events(spark)
+    for row in events.select("event_id", "ingest_date", "domain").collect():
+        found = tables.lookup(spark, row["event_id"])
+        assert [r["event_id"] for r in found.collect()] == [row["event_id"]]
+        assert all(f"ingest_date={row['ingest_date']}/" in f for f in found.inputFiles())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters" in plan and "domain" in plan.split("PartitionFilters")[1][:300]
+    assert tables.lookup(spark, "no-such-id").isEmpty() and tables.lookup(spark, "").isEmpty()
+    older = Tables(tables.events_path + "-none", tables.failed_path).create(spark)
+    assert older.lookup(spark, "x").isEmpty()
