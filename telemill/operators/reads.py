@@ -76,6 +76,11 @@ def recent_days(events: DataFrame, rows: int) -> DataFrame:
     return events if first_day is None else events.where(F.col("ingest_date") >= F.lit(first_day))
 
 
+def newest_rows(events: DataFrame, limit: int) -> DataFrame:
+    """The newest events of a frame that holds only the days it needs (``Tables.newest``): a top-k, no count."""
+    return events.orderBy(*_newest_first()).limit(limit)
+
+
 def list_first_page(events: DataFrame, limit: int) -> DataFrame:
     """The newest events, as a top-k over the newest days only."""
     return recent_days(events, limit).orderBy(*_newest_first()).limit(limit)

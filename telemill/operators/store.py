@@ -1,5 +1,6 @@
 """Event and quarantine tables: key check, append, delete."""
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
@@ -44,6 +45,24 @@ class Tables:
         """The filter rows of some days, or None for a table made before the filter existed."""
         return keyfilter.read(spark, self.key_filter_path, list(days))
 
+    @property
+    def counts_path(self) -> str:
+        """Rows stored per arrival day and append (``append_counts``)."""
+        return f"{self.events_path.rstrip('/')}-day-counts"
+
+    def day_counts(self, spark: SparkSession) -> list[tuple[date, int]] | None:
+        """Stored rows per day, newest first, from the count table; None for a table without one.
+
+        The counts never exceed the rows stored: an append writes its count after its events, a
+        delete its negative count before it rewrites, and a repeated append counts once.
+        """
+        if not _exists(spark, self.counts_path):
+            return None
+        counts = spark.read.schema(_COUNT_ROW).parquet(self.counts_path)
+        per_append = counts.groupBy("ingest_date", "batch_id").agg(F.max("n").alias("n"))
+        rows = per_append.groupBy("ingest_date").agg(F.sum("n").alias("n")).collect()
+        return sorted(((r["ingest_date"], r["n"]) for r in rows), key=lambda r: (r[0] is not None, r[0]), reverse=True)
+
     @property
     def index_path(self) -> str:
         """Where each id's day and domain are found, by a prefix of the id (``append_index``)."""
@@ -88,6 +107,7 @@ class Tables:
         if not _exists(spark, self.events_path):
             keyfilter.create(spark, self.key_filter_path)
             spark.createDataFrame([], _INDEX_ROW).write.mode("ignore").partitionBy("bucket").parquet(self.index_path)
+            spark.createDataFrame([], _COUNT_ROW).write.mode("ignore").parquet(self.counts_path)
         for path, schema, partitions in (
             (self.events_path, schemas.EVENTS, schemas.EVENT_PARTITIONS),
             (self.failed_path, schemas.FAILED_MESSAGES, schemas.FAILED_PARTITIONS),
@@ -108,6 +128,17 @@ class Tables:
         days, not of the whole history. ``until`` leaves out later days.
         """
         days = [d for d in _stored_days(spark, self.events_path) if until is None or (d is not None and d <= until)]
+        counts = self.day_counts(spark) if where is None else None
+        if counts is not None:
+            # Counted days, newest first, until they hold the rows; an uncounted stored day is read too.
+            counted = dict(counts)
+            taken, held = 0, 0
+            for day in days:
+                taken += 1
+                held += counted.get(day, 0)
+                if held >= rows and day in counted:
+                    break
+            return self.events(spark, days[:taken])
         taken = 1
         while True:
             part = self.events(spark, days[:taken])
@@ -133,6 +164,27 @@ _INDEX_ROW = T.StructType(
 )
 
 
+_COUNT_ROW = T.StructType(
+    [
+        T.StructField("ingest_date", T.DateType()),
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("n", T.LongType()),
+    ]
+)
+
+
+def append_counts(spark: SparkSession, tables: "Tables", batch_id: str, days: Sequence[date]) -> None:
+    """Count what an append stored, per day, from the table itself; call it after the events are written.
+
+    A crash before it leaves the day undercounted, which only makes a page read one day more.
+    """
+    stored = tables.events(spark, days).where(F.col("batch_id") == batch_id)
+    counted = stored.groupBy("ingest_date").agg(F.count("*").alias("n"))
+    counted.select("ingest_date", F.lit(batch_id).alias("batch_id"), "n").coalesce(1).write.mode("append").parquet(
+        tables.counts_path
+    )
+
+
 def _bucket_of(event_id: str) -> str:
     return (event_id or "")[:_BUCKET_CHARS].lower() or "_"
 
@@ -340,6 +392,12 @@ def delete_events(spark: SparkSession, tables: Tables, ids: DataFrame) -> int:
     )
     if not touched:
         return 0
+    if _exists(spark, tables.counts_path):
+        # Written before the rewrite: a crash in between leaves an undercount, never an overcount.
+        removed = events.join(listed, "event_id", "left_semi").groupBy("ingest_date").agg((-F.count("*")).alias("n"))
+        # A retried delete writes its negative count again: a further undercount, still safe.
+        tag = F.lit(f"delete-{uuid.uuid4().hex}")
+        removed.select("ingest_date", tag.alias("batch_id"), "n").write.mode("append").parquet(tables.counts_path)
     # Days times domains bound the touched partitions, so they fit a literal predicate, which prunes
     # the scan to exactly these partitions.
     days_of: dict[str, list[date]] = {}

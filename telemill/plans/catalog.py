@@ -395,7 +395,7 @@ def validate_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def get_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event, looked up by its id through the id index."""
     tables = stored_tables(spark, sf_dir)
-    newest = reads.list_first_page(tables.newest(spark, 1), 1).select("event_id").first()
+    newest = reads.newest_rows(tables.newest(spark, 1), 1).select("event_id").first()
     wanted = newest["event_id"] if newest else ""
     return _event_rows(reads.get_event(tables.lookup(spark, wanted), wanted))
 
@@ -729,7 +729,7 @@ def backlog_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("list_first_page")
 def list_first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_rows(reads.list_first_page(stored_tables(spark, sf_dir).newest(spark, 50), 50))
+    return _event_rows(reads.newest_rows(stored_tables(spark, sf_dir).newest(spark, 50), 50))
 
 
 @query("list_page")
@@ -756,7 +756,7 @@ def events_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latest_20")
 def latest_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_rows(reads.list_first_page(stored_tables(spark, sf_dir).newest(spark, 20), 20))
+    return _event_rows(reads.newest_rows(stored_tables(spark, sf_dir).newest(spark, 20), 20))
 
 
 # --- sets --------------------------------------------------------------------------------------

@@ -140,6 +140,8 @@ class IngestJob:
                 keyfilter.append(events.select("event_id", "ingest_date"), "ingest_date", self.tables.key_filter_path)
                 store.append_index(events, self.tables.index_path)
             store.append_events(accepted, self.tables.events_path)
+            if filters is not None:
+                store.append_counts(judged.sparkSession, self.tables, batch_id, days)
         refused = quarantine.failure_rows(judged, batch_id, self.config).unionByName(
             quarantine.conflict_rows(conflicts, batch_id)
         )

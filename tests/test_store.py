@@ -300,3 +300,21 @@ def test_lookup_opens_one_bucket_and_the_days_of_the_id(spark, tables):
     assert tables.lookup(spark, "no-such-id").isEmpty() and tables.lookup(spark, "").isEmpty()
     older = Tables(tables.events_path + "-none", tables.failed_path).create(spark)
     assert older.lookup(spark, "x").isEmpty()
+
+
+def test_day_counts_follow_appends_repeats_and_deletes(spark, tables):
+    """Counts equal the stored rows per day after an append, its repeat and a delete; a page reads
+    only the newest days it needs, without a counting job over the events."""
+    job = IngestJob(tables)
+    job.run(spread_over_days(spark, [energy(), finance()] * 6, days=3), "b1")
+    job.run(spread_over_days(spark, [energy(), finance()] * 6, days=3), "b1")
+    actual = lambda: sorted(
+        (r[0], r[1]) for r in tables.events(spark).groupBy("ingest_date").count().collect()
+    )
+    assert sorted(tables.day_counts(spark)) == actual()
+    gone = tables.events(spark).orderBy("event_id").limit(2).select("event_id")
+    store.delete_events(spark, tables, gone)
+    assert sorted(tables.day_counts(spark)) == actual()
+    newest = tables.newest(spark, 3)
+    assert {f.split("ingest_date=")[1][:10] for f in newest.inputFiles()} == {str(actual()[-1][0])}
+    assert newest.count() == actual()[-1][1]
