@@ -658,6 +658,21 @@ def throughput_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _series(spark, sf_dir)
 
 
+@query("throughput_stream")
+def throughput_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throughput by hour from a streaming aggregation with a watermark over both stored tables."""
+    from telemill.streaming.windows import stream_throughput
+
+    tables = stored_tables(spark, sf_dir)
+    return stream_throughput(
+        spark,
+        tables.events_path,
+        tables.failed_path,
+        scratch.new_folder(spark, "window-updates"),
+        scratch.new_folder(spark, "window-offsets"),
+    )
+
+
 @query("throughput_tier")
 def throughput_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiers of one-second windows by their rate of stored events, counted."""

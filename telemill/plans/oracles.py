@@ -425,6 +425,7 @@ ORACLES: dict[str, str] = {
         _TIMED,
     ),
     "throughput_by_window": _sql("SELECT * FROM series", _series()),
+    "throughput_stream": _sql("SELECT * FROM series", _series()),
     "throughput_tier": _sql(
         "SELECT topic, throughput, CASE WHEN throughput >= 100 THEN 'Excellent' WHEN throughput >= 50 THEN 'Good' "
         "WHEN throughput >= 25 THEN 'Moderate' ELSE 'Poor' END AS tier, count(*) AS n FROM series GROUP BY ALL",

@@ -153,3 +153,42 @@ def test_kafka_options():
         "includeHeaders": "true", "maxOffsetsPerTrigger": "1000",
     }
     assert config.write_options() == {"kafka.bootstrap.servers": "h1:9092,h2:9092", "topic": "dead"}
+
+
+def test_windows_take_late_rows_inside_the_watermark_only(spark, tmp_path):
+    from datetime import datetime as at
+
+    from pyspark.sql import functions as F
+
+    from telemill.streaming.windows import last_of_each_window, windowed_outcomes
+
+    events, failed, out = (str(tmp_path / n) for n in ("events", "failed", "out"))
+    shape = "topic string, ingested_at timestamp_ntz"
+    spark.createDataFrame([], "topic string, created_at timestamp_ntz").write.parquet(failed)
+
+    def arrive(*hours):
+        rows = [("t", at(2024, 1, 5, h, m)) for h, m in hours]
+        spark.createDataFrame(rows, shape).write.mode("append").parquet(events)
+
+    def run():
+        stream = windowed_outcomes(
+            spark.readStream.schema(shape).parquet(events),
+            spark.readStream.schema("topic string, created_at timestamp_ntz").parquet(failed),
+            3600,
+            "1 hour",
+        )
+        query = (
+            stream.writeStream.outputMode("update")
+            .foreachBatch(lambda b, i: b.withColumn("_batch", F.lit(i).cast("long")).write.mode("append").parquet(out))
+            .option("checkpointLocation", str(tmp_path / "offsets"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        rows = last_of_each_window(spark.read.parquet(out), 3600).collect()
+        return {r["window_start"].hour: r["sent"] for r in rows}
+
+    arrive((10, 0), (12, 0))
+    assert run() == {10: 1, 12: 1}
+    arrive((11, 30), (9, 30))  # the watermark stands at 11:00: 11:30 counts, 9:30 is too late
+    assert run() == {10: 1, 11: 1, 12: 1}
