@@ -2,8 +2,10 @@
 
 For each language a suffix automaton of labelled text is built. A document is cut into the longest
 phrases that occur in that text; the fewer phrases it takes, the closer the languages. With ``c``
-phrases over ``n`` characters and a training text of ``m`` characters, ``c * log2(m) / n`` estimates
-the bits a character takes given the language; the language with the least wins.
+phrases over ``n`` characters, ``c * log2(m) / n`` estimates the bits a character takes given the
+language, where ``m`` is the size of the largest training text: every language prices a phrase alike,
+so the language with the fewest phrases wins, and a tiny training text (one short labelled document)
+cannot win by a cheap price for its many short phrases.
 
 Text is normalised first: letters in lower case, every run of other characters one separator. Long
 documents are parsed in segments of ``SEGMENT`` characters, each from the automaton's start, so that
@@ -121,8 +123,10 @@ class Parser:
             table[:, self.padding] = np.arange(base, base + len(moves))
             tables.append(table)
             self.starts.append(base)
-            self.bits.append(np.log2(len(codes) + 2))
+            self.bits.append(len(codes))
             base += len(moves)
+        # One price a phrase for all languages: that of the largest training text.
+        self.bits = [float(np.log2(max(self.bits, default=0) + 2))] * len(self.bits)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -207,6 +207,16 @@ def test_language(spark, rows, documents, odd_ids, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_a_tiny_language_takes_no_other_documents(spark):
+    """One labelled document 'ok' of its own language changes no prediction but its own."""
+    texts = [(k, " ".join(["the cat sat on that mat", "der hund und die katze sind da"][k % 2:][:1] * 9), ("en", "de")[k % 2])
+             for k in range(60)]
+    schema = "doc_id bigint, text string, lang string"
+    before = by_id(language.identify(spark.createDataFrame(texts, schema)))
+    after = by_id(language.identify(spark.createDataFrame([*texts, (1000, "ok", "xx")], schema)))
+    assert all(after[i].lang_pred == before[i].lang_pred for i, _, _ in texts)
+
+
 def test_cross_parsing_counts_phrases():
     parser = language.Parser({"x": "abcab"})
     codes = parser.classes[language._points("bcabxcc")]
