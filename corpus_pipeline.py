@@ -12,15 +12,37 @@ from telemill.llm import language, lines, minmax, mixing, pieces
 from telemill.llm.staging import staged
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all columns of the documents in one struct, so that no column an operator
+    adds (``lang_pred``, ``score``, ``n_lines``, ``n_dropped``) can clash with one of theirs."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_documents"))
+
+
+def _unpacked(frame: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
+    return frame.select(
+        *[F.col(text).alias(c) if c == "text" and text else F.col("_documents").getField(c).alias(c) for c in docs.columns]
+    )
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go. The language is learned from the labelled ones."""
+    """Documents the language model rejects go: those without a letter (null, empty or none in the text).
+
+    The language is learned from the labelled documents; where no document has a usable label, nothing
+    is learned and only texts without a letter go. All columns stay, whatever their names.
+    """
     texts = language.training_text(docs, F.lit(True))
-    return language.predict(docs, texts).where(F.col("lang_pred") != language.UNKNOWN).drop("lang_pred", "score")
+    if not texts:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    judged = language.predict(_packed(docs), texts)
+    return _unpacked(judged.where(F.col("lang_pred") != language.UNKNOWN), docs)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 40 characters or more in five documents or more stay in the last one only."""
-    return lines.dropped(docs).drop("n_lines", "n_dropped")
+    """Lines of 40 characters or more in five documents or more stay in the last one only.
+
+    All columns stay, whatever their names; ``text`` is the text that is left.
+    """
+    return _unpacked(lines.dropped(_packed(docs)), docs, text="text")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
