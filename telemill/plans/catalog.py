@@ -1,5 +1,6 @@
 """The registered queries. Each takes (spark, sf_dir) and reads whole tables."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -927,6 +928,31 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("stage", "domain", "event_type").agg(F.sum("n").alias("n"))
 
 
+@query("stream_metrics")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and input rows of a stream of several micro-batches, from the metrics its listener wrote."""
+    from telemill.streaming.observe import ProgressMetrics
+
+    tables = store.Tables.under(scratch.new_folder(spark, "tables")).create(spark)
+    path, name = scratch.new_folder(spark, "metrics"), f"metrics-{uuid.uuid4().hex[:8]}"
+    listener = ProgressMetrics(name)
+    spark.streams.addListener(listener)
+    try:
+        stream = message_stream_files(spark, _message_files(spark, sf_dir), max_files_per_trigger=4)
+        running = IngestJob(tables).start(
+            stream, scratch.new_folder(spark, "offsets"), name, {"availableNow": True}, (listener, path)
+        )
+        running.awaitTermination()
+        listener.settle(spark, path, running)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = spark.read.schema(ProgressMetrics.SCHEMA).parquet(path)
+    messages = F.get_json_object("observed", "$.intake.messages").cast("long")
+    return rows.agg(
+        F.coalesce(F.sum(messages), F.lit(0)).alias("messages"), F.coalesce(F.sum("input_rows"), F.lit(0)).alias("input_rows")
+    )
+
+
 # --- extension ---------------------------------------------------------------------------------
 
 CLIMATE = DomainSpec(

@@ -526,6 +526,7 @@ ORACLES: dict[str, str] = {
     "stream_ingest": _sql(
         'SELECT topic, "partition", "offset", stage, CASE WHEN stage IS NULL THEN event_id END AS event_id FROM cls'
     ),
+    "stream_metrics": _sql("SELECT count(*) AS messages, count(*) AS input_rows FROM cls"),
     "stream_counters": _sql(
         "SELECT stage, domain, type AS event_type, CAST(sum(CASE WHEN stage IS NULL THEN 1 ELSE 2 END) AS BIGINT) AS n "
         "FROM cls GROUP BY ALL "

@@ -23,6 +23,7 @@ from telemill import fixed
 from telemill.operators import keyfilter, quarantine, store
 from telemill.operators.decode import decode
 from telemill.operators.transform import TransformConfig, classify, compact, to_events
+from telemill.streaming.observe import ProgressMetrics
 
 log = logging.getLogger(__name__)
 
@@ -159,13 +160,24 @@ class IngestJob:
         checkpoint: str,
         name: str | None = None,
         trigger: dict | None = None,
+        metrics: tuple[ProgressMetrics, str] | None = None,
     ) -> StreamingQuery:
-        """Ingest a stream. ``trigger`` is that of the stream writer, e.g. ``{"availableNow": True}``."""
+        """Ingest a stream. ``trigger`` is that of the stream writer, e.g. ``{"availableNow": True}``.
+
+        With ``metrics`` (a listener added to the session and a table path) every micro-batch's progress,
+        with the messages it took (observed as ``intake``), is appended to that table as the stream runs.
+        """
         # Batches are counted per checkpoint, so its location is part of the batch id.
         origin = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-        writer = messages.writeStream.foreachBatch(
-            lambda batch, batch_id: self.run(batch, f"{origin}-{batch_id}")
-        ).option("checkpointLocation", checkpoint)
+        if metrics is not None:
+            messages = messages.observe("intake", F.count(F.lit(1)).alias("messages"))
+
+        def each(batch: DataFrame, batch_id: int) -> None:
+            if metrics is not None:
+                metrics[0].flush(batch.sparkSession, metrics[1])
+            self.run(batch, f"{origin}-{batch_id}")
+
+        writer = messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         if name:
             writer = writer.queryName(name)
         return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
