@@ -9,6 +9,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Equal keys in one JSON object: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Streaming state on disk, checkpointed by its changes (deduplication within the watermark, windows).
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -161,14 +161,23 @@ class IngestJob:
         name: str | None = None,
         trigger: dict | None = None,
         metrics: tuple[ProgressMetrics, str] | None = None,
+        dedupe_within: str | None = None,
     ) -> StreamingQuery:
         """Ingest a stream. ``trigger`` is that of the stream writer, e.g. ``{"availableNow": True}``.
 
         With ``metrics`` (a listener added to the session and a table path) every micro-batch's progress,
         with the messages it took (observed as ``intake``), is appended to that table as the stream runs.
+
+        With ``dedupe_within`` (a delay such as ``"1 hour"``) a record whose position came before, within
+        that delay of the newest arrival time, is dropped by ``dropDuplicatesWithinWatermark`` before the
+        batch: copies across micro-batches never reach the key check. Their number is in the progress
+        (``dropped_copies`` of the metrics table). Copies that arrive later still meet the key check.
         """
         # Batches are counted per checkpoint, so its location is part of the batch id.
         origin = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+        if dedupe_within is not None:
+            position = [c for c in ("topic", "partition", "offset", "record_key") if c in messages.columns]
+            messages = messages.withWatermark("timestamp", dedupe_within).dropDuplicatesWithinWatermark(position)
         if metrics is not None:
             messages = messages.observe("intake", F.count(F.lit(1)).alias("messages"))
 

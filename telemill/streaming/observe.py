@@ -38,7 +38,7 @@ class ProgressMetrics(StreamingQueryListener):
 
     SCHEMA = (
         "query_id string, batch bigint, at string, input_rows bigint, input_per_s double, "
-        "processed_per_s double, observed string"
+        "processed_per_s double, observed string, dropped_copies bigint"
     )
 
     def __init__(self, name: str | None = None):
@@ -63,6 +63,7 @@ class ProgressMetrics(StreamingQueryListener):
             float(progress.inputRowsPerSecond or 0.0),
             float(progress.processedRowsPerSecond or 0.0),
             json.dumps(observed, default=str, sort_keys=True),
+            sum(int((op.customMetrics or {}).get("numDroppedDuplicateRows", 0)) for op in progress.stateOperators or []),
         )
         with self._lock:
             self.pending.append(row)
