@@ -13,6 +13,11 @@ document at most; one further document of a fitting size takes up most of what i
 Only DataFrame operations. No group is gathered: sums run over sizes in two levels, documents of one
 size are ranked in hashed slices.
 
+Reruns agree: slices and ranks come from a hash of the id and the text, never from where a row was
+read, and the multipliers are rounded to ``DIGITS`` decimals, so that sums of doubles in another order
+(other cores, other files) give the same rates. Rows equal in id and text share a slice; a large group
+of them is ranked in one task, by a window that spills.
+
 Nulls and ties: null text has size 0; documents of size 0 take one copy (they cost nothing). A null
 source is a source of its own, weighted last. Repeated rows are rows of their own; equal ids share a
 rank in no defined order, which changes no sum. An empty table gives an empty mix. Other columns are
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from telemill.llm.staging import staged
 
 SLICES = 64
+DIGITS = 9
 
 
 def word_count(text: Column) -> Column:
@@ -102,7 +108,7 @@ def multipliers(
         state = staged(state, "mixing-multipliers")
         if (state.agg(F.max("error")).first()[0] or 0.0) <= tolerance:
             break
-    return state.select("source", "scale", "multiplier")
+    return state.select("source", "scale", F.round("multiplier", DIGITS).alias("multiplier"))
 
 
 def _newton_step(histogram: DataFrame, state: DataFrame, most: int) -> DataFrame:
@@ -223,10 +229,12 @@ def _two_plans(histogram: DataFrame, targets: DataFrame, most: int) -> DataFrame
 def rates(documents: DataFrame, most: int = 3) -> DataFrame:
     """``row, doc_id, size, source_size, target, copies`` of every document.
 
-    ``documents`` has ``row`` (unique), ``doc_id``, ``source`` (a ``source_key``) and ``size``.
+    ``documents`` has ``row`` (unique), ``doc_id``, ``source`` (a ``source_key``), ``size`` and ``content``
+    (a hash of the text). Equal rows (same id and text) are interchangeable: which of them takes a copy
+    changes no result.
     """
-    slice_ = F.pmod(F.xxhash64("doc_id", "row"), F.lit(SLICES)).cast("int")
-    rows = documents.select("row", "doc_id", "source", "size", slice_.alias("slice"))
+    slice_ = F.pmod(F.xxhash64("doc_id", "content"), F.lit(SLICES)).cast("int")
+    rows = documents.select("row", "doc_id", "source", "size", "content", slice_.alias("slice"))
     sliced = staged(rows.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "mixing-slices")
     histogram = staged(sliced.groupBy("source", "size").agg(F.sum("n").alias("n")), "mixing-sizes")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -254,7 +262,9 @@ def rates(documents: DataFrame, most: int = 3) -> DataFrame:
         )
     )
     rank = F.row_number().over(
-        Window.partitionBy("source", "size", "slice").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "row")
+        Window.partitionBy("source", "size", "slice").orderBy(
+            F.xxhash64("doc_id", "content", F.lit(1)), "doc_id", "content", "row"
+        )
     )
     return (
         rows.withColumn("rank", rank)
@@ -278,6 +288,7 @@ def sized(documents: DataFrame) -> DataFrame:
             "doc_id",
             source_key(F.col("source")).alias("source"),
             word_count(F.col("text")).alias("size"),
+            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("content"),
         ),
         "mixing-rows",
     )
@@ -301,6 +312,7 @@ def mixed(documents: DataFrame, most: int = 3) -> DataFrame:
         F.col("document.doc_id").alias("doc_id"),
         source_key(F.col("document.source")).alias("source"),
         word_count(F.col("document.text")).alias("size"),
+        F.xxhash64(F.coalesce(F.col("document.text"), F.lit(""))).alias("content"),
     )
     copies = rates(staged(rows, "mixing-rows"), most).select("row", "copies").where("copies > 0")
     return (

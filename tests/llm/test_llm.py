@@ -113,6 +113,19 @@ def test_lines(rows, documents, odd_ids, empty):
     assert lines.dropped(documents).columns == [*documents.columns, "n_lines", "n_dropped"]
 
 
+def test_mixing_reruns_agree_over_layouts(spark, rows):
+    """The same rows in other partitions and in another order give the same taken words."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, __row string"
+    many = [(1000 + k, r[1], r[2], r[3], r[4], r[5]) for k, r in enumerate(rows * 3)]
+    layouts = [
+        spark.createDataFrame(many, schema).repartition(1),
+        spark.createDataFrame(list(reversed(many)), schema).repartition(7),
+        spark.createDataFrame(many, schema).repartition(13, "source"),
+    ]
+    results = [sorted((r.doc_id, r.taken) for r in mixing.mix(frame).collect()) for frame in layouts]
+    assert results[0] == results[1] == results[2]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000, np.uint64))
     table = lines.PerfectHash.loaded(*lines.PerfectHash.build(keys).stored())
