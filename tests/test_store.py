@@ -318,3 +318,26 @@ def test_day_counts_follow_appends_repeats_and_deletes(spark, tables):
     newest = tables.newest(spark, 3)
     assert {f.split("ingest_date=")[1][:10] for f in newest.inputFiles()} == {str(actual()[-1][0])}
     assert newest.count() == actual()[-1][1]
+
+
+def test_a_replayed_batch_adds_nothing_to_filter_and_index(spark, tables):
+    """A key is one row of the filter and of the index; stored keys that come again add none."""
+    batch = spread_over_days(spark, [energy(), finance()] * 20, days=3)
+    IngestJob(tables).run(batch, "b1")
+    IngestJob(tables).run(batch, "b2")
+    index = spark.read.parquet(tables.index_path)
+    days = [r[0] for r in tables.events(spark).select("ingest_date").distinct().collect()]
+    assert index.count() == index.select("event_id").distinct().count() == 40
+    assert tables.key_filter(spark, days).count() <= 40
+    assert tables.events(spark).count() == 40 and tables.failed(spark).count() == 40
+
+
+def test_copies_in_a_batch_are_filtered_and_indexed_once(spark, tables):
+    """Copies of one position are stored once; a second run of a broken batch counts what the first stored."""
+    twice = records(spark, [energy()] * 3).unionByName(records(spark, [energy()] * 3))
+    IngestJob(tables).run(twice, "b1")
+    assert spark.read.parquet(tables.index_path).count() == 3
+    assert [n for _, n in tables.day_counts(spark)] == [3]
+    IngestJob(tables).run(twice, "b1")
+    assert [n for _, n in tables.day_counts(spark)] == [3]
+    assert (tables.events(spark).count(), tables.failed(spark).count()) == (3, 3)
