@@ -1,6 +1,7 @@
 """Rows of one key, gathered from batches that come sorted by it."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,3 +25,22 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             last = key
     if waiting:
         yield pa.Table.from_batches(waiting)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal ``keys``, of about ``rows`` rows and a batch, or one larger run."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) < rows:
+            continue
+        held = pa.Table.from_batches(waiting)
+        borders = np.flatnonzero(reduce(np.logical_or, [np.diff(held.column(k).to_numpy()) != 0 for k in keys]))
+        if len(borders):
+            end = int(borders[-1]) + 1
+            yield held.slice(0, end)
+            waiting = held.slice(end).to_batches()
+    if waiting:
+        yield pa.Table.from_batches(waiting)

@@ -8,8 +8,9 @@ at cosine 0.95 a table brings them together with a chance of 0.3, so all tables
 Links are confirmed by cosine in double precision.
 
 Equal vectors form one class and are counted, not paired. Cells that hold one class are left out before
-any vector is sent. In a cell the classes are compared block by block inside a task; what leaves the
-task is one row per class: its number of links and a class it is connected with. A pair that meets in
+any vector is sent. In a cell the classes are compared block by block inside a task, the many small cells
+of a batch in one step; what leaves the task is one row per class: its number of links and a class it is
+connected with. A pair that meets in
 several cells is counted in the first one only (its cells are worked out again for that), so counts
 are exact without listing pairs. Large cells are divided into blocks of ``BLOCK`` classes.
 
@@ -20,7 +21,7 @@ ignored.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import product
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.components import connected
-from telemill.llm.groups import grouped
+from telemill.llm.groups import whole_groups
 from telemill.llm.staging import staged
 from telemill.llm.text import mix
 
@@ -39,6 +40,10 @@ PROBES = 2
 SCALE = 0.6
 BLOCK = 1024
 PAIRS_AT_ONCE = 1 << 17
+ROWS_AT_ONCE = 8192
+#: A group in which an owner meets more rows is a matrix product; of smaller ones so many values are compared at once.
+LARGE = 64
+VALUES_AT_ONCE = 1 << 21
 RECENT = 20_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -172,47 +177,85 @@ def _visits(owner: np.ndarray, visitor: np.ndarray) -> np.ndarray:
     return (owner[:, :1] == visitor).any(axis=1)
 
 
-def _first_time(known: np.ndarray, a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
-    """The pairs that meet in no earlier table; most fall out after one or two tables."""
-    rest = np.arange(len(a))
-    for t in range(table):
-        x, y = known[a[rest], t], known[b[rest], t]
-        rest = rest[~(_visits(x, y) | _visits(y, x))]
+def _first_time(known: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The pairs that meet in no table before their own; most fall out after one or two tables."""
+    rest, done = np.arange(len(a)), []
+    for t in range(TABLES):
+        reached = table[rest] == t
+        done.append(rest[reached])
+        rest = rest[~reached]
         if not len(rest):
             break
-    return rest
+        x, y = known[a[rest], t], known[b[rest], t]
+        rest = rest[~(_visits(x, y) | _visits(y, x))]
+    return np.sort(np.concatenate(done))
 
 
-def _compare(nodes, own, owner, visitor, table, sizes, vectors, cosine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One block of a cell: nodes with links counted here, the smallest node each is connected with,
-    and the number of vectors it links with."""
-    unit = _unit(vectors)
-    owners, visitors = np.flatnonzero(owner), np.flatnonzero(visitor)
-    pairs_a, pairs_b = [], []
-    for start in range(0, len(owners), BLOCK):
-        some = owners[start : start + BLOCK]
-        close = unit[some] @ unit[visitors].T >= cosine
-        a, b = np.nonzero(close)
-        a, b = some[a], visitors[b]
-        differ = nodes[a] != nodes[b]
+def _close_pairs(group, nodes, own, owner, visitor, unit, cosine) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and visitor of each close pair of one group; ``group`` numbers the rows' groups, ascending.
+
+    Many small groups are compared in one step, their pairs written out; a large group is a matrix product.
+    Two owners of a cell meet twice, and count from the smaller class only.
+    """
+    pairs_a, pairs_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(a, b):
+        differ = (nodes[a] < nodes[b]) | ((nodes[a] > nodes[b]) & ~own[b])
         pairs_a.append(a[differ])
         pairs_b.append(b[differ])
-    a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
+
+    owners, visitors = np.flatnonzero(owner), np.flatnonzero(visitor)
+    first = np.searchsorted(group[visitors], group[owners], "left")
+    met = np.searchsorted(group[visitors], group[owners], "right") - first
+    large = np.unique(group[owners[met > LARGE]])
+    for g in large.tolist():
+        of, to = owners[group[owners] == g], visitors[group[visitors] == g]
+        for start in range(0, len(of), BLOCK):
+            some = of[start : start + BLOCK]
+            for at in range(0, len(to), BLOCK):
+                a, b = np.nonzero(unit[some] @ unit[to[at : at + BLOCK]].T >= cosine)
+                add(some[a], to[at + b])
+    small = met <= LARGE
+    owners, first, met = owners[small], first[small], met[small]
+    ends = np.cumsum(met)
+    start, at_once = 0, VALUES_AT_ONCE // unit.shape[1]
+    while start < len(owners):
+        done = ends[start] - met[start]
+        end = max(start + 1, int(np.searchsorted(ends, done + at_once, "right")))
+        a = np.repeat(owners[start:end], met[start:end])
+        step = np.arange(len(a)) - np.repeat(ends[start:end] - met[start:end] - done, met[start:end])
+        b = visitors[np.repeat(first[start:end], met[start:end]) + step]
+        differ = (nodes[a] < nodes[b]) | ((nodes[a] > nodes[b]) & ~own[b])
+        a, b = a[differ], b[differ]
+        close = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+        add(a[close], b[close])
+        start = end
+    return np.concatenate(pairs_a), np.concatenate(pairs_b)
+
+
+def _compare(group, nodes, own, owner, visitor, table, sizes, vectors, cosine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of cells: nodes with links counted here, the smallest node each is connected with in its block,
+    and the number of vectors it links with. A block may hold visitors only, or owners only."""
+    unit = _unit(vectors)
+    a, b = _close_pairs(group, nodes, own, owner, visitor, unit, cosine)
     if not len(a):
         return (np.zeros(0, np.int64),) * 3
-    used, place = np.unique(np.r_[a, b], return_inverse=True)
-    known = _cells_of(nodes[used], unit[used])
+    _, at, place = np.unique(nodes[np.r_[a, b]], return_index=True, return_inverse=True)
+    at = np.r_[a, b][at]
+    known = _cells_of(nodes[at], unit[at])
     place_a, place_b = place[: len(a)], place[len(a) :]
     counted = []
     for start in range(0, len(a), PAIRS_AT_ONCE):
         end = start + PAIRS_AT_ONCE
-        rest = start + _first_time(known, place_a[start:end], place_b[start:end], table)
+        rest = start + _first_time(known, place_a[start:end], place_b[start:end], table[a[start:end]])
         # Of the two cells of one table the smaller class's own counts.
-        backward = _visits(known[place_b[rest], table], known[place_a[rest], table])
+        here = table[a[rest]]
+        backward = _visits(known[place_b[rest], here], known[place_a[rest], here])
         counted.append(rest[(nodes[a[rest]] < nodes[b[rest]]) | ~backward])
     counted = np.concatenate(counted)
     a, b = a[counted], b[counted]
     count = np.bincount(a, sizes[b], len(nodes)) + np.bincount(b, sizes[a], len(nodes))
+    # No pair goes from one block to another, so the labels stay within theirs.
     label = nodes.copy()
     while True:
         least = np.minimum(label[a], label[b])
@@ -229,21 +272,29 @@ def _compare(nodes, own, owner, visitor, table, sizes, vectors, cosine) -> tuple
 
 def _meet(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """Rows come by cell and block; a group may go over several batches."""
-
-    def judged(group: pa.Table) -> pa.RecordBatch:
-        column = lambda name: group.column(name).to_numpy()
-        embedding = group.column("embedding").combine_chunks()
-        values, lengths = _matrix(embedding)
-        own, part = column("own"), column("part")
-        found = _compare(
-            column("node"), own, own & (part == column("i")[0]), part == column("j")[0], int(column("table")[0]),
-            column("size"), values.reshape(len(lengths), -1), cosine,
-        )
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "n"])
+    keys = ["cell", "i", "j"]
+
+    def judged(groups: pa.Table) -> Iterator[pa.RecordBatch]:
+        column = {name: groups.column(name).to_numpy() for name in groups.column_names if name != "embedding"}
+        changes = reduce(np.logical_or, [np.diff(column[k]) != 0 for k in keys])
+        group = np.r_[0, np.cumsum(changes)]
+        owner = column["own"] & (column["part"] == column["i"])
+        visitor = column["part"] == column["j"]
+        # Only blocks with both an owner and a visitor have pairs.
+        n = int(group[-1]) + 1
+        has = (np.bincount(group, owner, n) > 0) & (np.bincount(group, visitor, n) > 0)
+        for at, x in _by_length(groups.column("embedding").combine_chunks()):
+            at, x = at[has[group[at]]], x[has[group[at]]]
+            if len(at):
+                found = _compare(
+                    group[at], column["node"][at], column["own"][at], owner[at], visitor[at], column["table"][at],
+                    column["size"][at], x, cosine,
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "n"])
 
     _recent.clear()
-    for group in grouped(batches, ["cell", "i", "j"]):
-        yield judged(group)
+    for groups in whole_groups(batches, keys, ROWS_AT_ONCE):
+        yield from judged(groups)
 
 
 def class_links(classes: DataFrame, cosine: float) -> DataFrame:

@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from telemill.llm import components, exact, language, lines, minmax, mixing, pieces, quality, secrets, toxicity, vectors
+from telemill.llm.groups import whole_groups
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,6 +180,35 @@ def test_minmax(rows, documents, odd_ids, empty, width):
         assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_vectors_of_a_cell_in_many_blocks(spark, monkeypatch, block):
+    """A cell of many classes is cut into blocks, and some of these hold visitors but no owner."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    near = centres.repeat([*[12] * 11, 90], axis=0)
+    found = np.concatenate([near + rng.normal(0, 0.1, near.shape), rng.normal(size=(60, 16))])
+    frame = spark.createDataFrame(
+        [(k, v.tolist(), 1) for k, v in enumerate(found.astype(np.float32))],
+        "vec_id bigint, embedding array<float>, label int",
+    )
+    x = found.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.95
+    label = plain_components(len(x), [tuple(p) for p in np.argwhere(close)])
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    for r in vectors.near_duplicates(frame).collect():
+        assert (r.n_links, r.component_id) == (close[r.vec_id].sum() - 1, label[r.vec_id])
+
+
+def test_groups_stay_whole_over_batches():
+    keys = [0] * 3 + [1] * 9 + [2] + [3] * 4
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 2])], names=["k"]) for k in range(0, len(keys), 2)]
+    for rows in (1, 4, 100):
+        tables = [t.column("k").to_pylist() for t in whole_groups(iter(batches), ["k"], rows)]
+        assert sum(tables, []) == keys
+        assert sum(len(set(t)) for t in tables) == 4
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
