@@ -86,13 +86,18 @@ def packed(vectors: DataFrame, per_group: int, name: str, extra: str | None = No
 
 
 def units(queries: DataFrame, candidates: DataFrame, shards: int) -> DataFrame:
-    """Each query batch beside each candidate shard of its length: query columns ``q_*``, candidate ``c_*``."""
+    """Each query batch beside each candidate shard of its length: query columns ``q_*``, candidate ``c_*``.
+
+    Always a sort-merge join: Spark takes the batches for as small as their file, although every batch comes
+    once a shard here, and would gather that product, which grows with the square of the table, on the driver
+    to broadcast it. Shards that were small enough to be broadcast are few in any case.
+    """
     q = queries.select(
         *[F.col(c).alias(f"q_{c}") for c in queries.columns],
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("at"),
     )
     c = candidates.select(*[F.col(k).alias(f"c_{k}") for k in candidates.columns])
-    return q.join(c, (q.q_dims == c.c_dims) & (q.at == c.c_shard)).drop("at")
+    return q.hint("merge").join(c.hint("merge"), (q.q_dims == c.c_dims) & (q.at == c.c_shard)).drop("at")
 
 
 def unpack(row, side: str) -> dict:

@@ -130,6 +130,13 @@ def test_search_prunes_blocks_without_losing_ties(spark):
     assert collected(search.top_k(frame, every=50, block_rows=8)) == plain_search(rows)
 
 
+def test_units_are_not_gathered_on_the_driver(vectors):
+    """The batches come once a shard: a broadcast would bring that product to the driver, whatever its estimate."""
+    for found in (search.top_k(vectors), negatives.mine(vectors)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin [q_dims" not in plan and "BroadcastNestedLoop" not in plan
+
+
 def test_negatives(vectors, no_vectors):
     assert collected(negatives.mine(vectors, anchor_every=100)) == plain_negatives(vector_rows())
     assert collected(negatives.mine(vectors, anchor_every=20)) == plain_negatives(vector_rows(), every=20)
