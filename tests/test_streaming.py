@@ -16,6 +16,7 @@ from telemill.sources import (
     KafkaConfig, message_files, message_stream_files, replay_documents, replay_lines,
 )
 from telemill.streaming import IngestJob, observe_outcomes, with_fallback
+from telemill.streaming.ingest import side_by_side
 
 VALUES = [energy(), finance(), climate(), "junk", climate(0), message("x", {}), message("energy_meter", {}, device="")] * 5
 NOW = {"availableNow": True}
@@ -295,3 +296,35 @@ def test_message_files_hold_every_record_in_few_bytes(spark, tmp_path, monkeypat
     sizes = [p.stat().st_size for p in (tmp_path / "messages").glob("part-*")]
     texts = staged.agg(F.sum(F.length("value"))).first()[0]
     assert len(sizes) >= 6 and sum(sizes) < texts / 2
+
+
+def test_fresh_batch_leaves_stored_keys_unread_and_writes_side_by_side(spark, tmp_path, monkeypatch):
+    """A micro-batch without a key that may be stored neither lists nor reads the event table, and the quarantine
+    table does not wait for the event table."""
+    from threading import Barrier
+
+    from telemill.operators import store
+
+    tables = Tables.under(str(tmp_path)).create(spark)
+    IngestJob(tables).run(records(spark, VALUES), "b1")
+    read, both = [], Barrier(2, timeout=60)
+    stored_keys, append_events, append_failures = store.known_keys, store.append_events, store.append_failures
+    monkeypatch.setattr(store, "known_keys", lambda events: read.append(1) or stored_keys(events))
+    monkeypatch.setattr(store, "append_events", lambda *a: both.wait() is not None and append_events(*a))
+    monkeypatch.setattr(store, "append_failures", lambda *a: both.wait() is not None and append_failures(*a))
+    IngestJob(tables).run(records(spark, VALUES, start=1000), "b2")
+    assert (tables.events(spark).count(), tables.failed(spark).count(), read) == (30, 40, [])
+    IngestJob(tables).run(records(spark, VALUES, start=1000), "b2")
+    assert (tables.events(spark).count(), tables.failed(spark).count(), read) == (30, 40, [1])
+
+
+def test_steps_side_by_side_all_end_and_the_first_error_is_raised():
+    done = []
+
+    def fails(text):
+        raise OSError(text)
+
+    with pytest.raises(OSError, match="first"):
+        side_by_side(lambda: fails("first"), lambda: fails("second"), lambda: done.append(3))
+    side_by_side()
+    assert done == [3]
